@@ -1,0 +1,143 @@
+"""Splitting of hot window partitions.
+
+A window puts all rows of one key into one task.  ``order_chunks`` cuts the keys
+that are too large for that into consecutive ranges of their order, so that a
+cumulative result becomes a result inside the range plus an offset of the ranges
+before it.
+
+Sizes are bounded by construction: a key is hot if it has more rows than
+``max(rows per task, total / MAX_HOT)``, so there are fewer than ``MAX_HOT`` hot
+keys, and a range holds about that many rows, so there are about ``MAX_HOT``
+ranges.  Only these lists are collected and broadcast.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ROWS_PER_TASK = "tarnwheel.window.rowsPerTask"
+DEFAULT_ROWS_PER_TASK = 2_000_000
+MAX_HOT = 10_000
+SAMPLES_PER_CHUNK = 8
+BLOCK = 64
+
+CHUNK = "__chunk"
+WHOLE = "__whole"
+
+
+def rows_per_task(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(ROWS_PER_TASK, str(DEFAULT_ROWS_PER_TASK)))
+
+
+def same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Null-safe equality, because null is a window partition like any other."""
+    condition = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        condition = condition & F.col(a).eqNullSafe(F.col(b))
+    return condition
+
+
+def _hot_counts(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, int]:
+    """Keys with too many rows for one task, with their counts."""
+    limit = rows_per_task(df)
+    total = df.select(*[F.col(k) for k in keys]).count()
+    if total <= limit:
+        return None, limit
+    limit = max(limit, math.ceil(total / MAX_HOT))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > limit)
+    rows = counts.collect()  # fewer than MAX_HOT, see the module text
+    return (df.sparkSession.createDataFrame(rows, counts.schema) if rows else None), limit
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The hot keys as a small local table, or None if there are none."""
+    hot, _ = _hot_counts(df, keys)
+    return None if hot is None else hot.select(*keys)
+
+
+@dataclass(frozen=True)
+class Chunked:
+    """Rows with their range number, and the columns that form one window partition."""
+
+    rows: DataFrame
+    keys: list[str]
+    partition: list[str]
+    split: bool
+
+    def with_offsets(self, per_chunk: Column, combine: Column, name: str, default: object) -> DataFrame:
+        """Add ``name``: ``combine`` of the earlier ranges of the same key.
+
+        ``combine`` reads the column ``__part`` of one row per range.
+        """
+        from pyspark.sql import Window
+
+        totals = (
+            self.rows.where(F.col(CHUNK).isNotNull())
+            .groupBy(*self.partition)
+            .agg(per_chunk.alias("__part"))
+        )
+        before = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            *[F.col(c).alias(f"__o_{c}") for c in self.partition], combine.over(before).alias(name)
+        )
+        # One row per range of a hot key: about MAX_HOT rows at most.
+        joined = self.rows.join(
+            F.broadcast(offsets), same_keys(self.partition, [f"__o_{c}" for c in self.partition]), "left"
+        )
+        return joined.drop(*[f"__o_{c}" for c in self.partition]).withColumn(
+            name, F.coalesce(F.col(name), F.lit(default))
+        )
+
+
+def order_chunks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, descending: bool = False
+) -> Chunked:
+    """Cut the hot keys into ranges of ``order``; other keys stay whole.
+
+    The limits of the ranges come from a hash sample of the hot keys.  They
+    decide only where a key is cut, so the result does not depend on them.
+    """
+    keys = list(keys)
+    if not keys:
+        df = df.withColumn(WHOLE, F.lit(1))
+        keys = [WHOLE]
+    hot, limit = _hot_counts(df, keys)
+    if hot is None:
+        return Chunked(df, keys, keys, False)
+
+    position = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(order)])
+    stride = max(1, limit // SAMPLES_PER_CHUNK)
+    named = hot.select([F.col(k).alias(f"__h_{k}") for k in keys])
+    on_hot = same_keys(keys, [f"__h_{k}" for k in keys])
+    sample = df.join(F.broadcast(named), on_hot, "left_semi").where(
+        F.pmod(F.xxhash64(*order), F.lit(stride)) == 0
+    )
+    limits = (
+        sample.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(position)).alias("__all"))
+        .select(
+            *[F.col(k).alias(f"__h_{k}") for k in keys],
+            F.filter("__all", lambda _, i: i % SAMPLES_PER_CHUNK == SAMPLES_PER_CHUNK - 1).alias("__limits"),
+        )
+    )
+    found = df.sparkSession.createDataFrame(limits.collect(), limits.schema)  # about MAX_HOT values
+    found = found.withColumn("__heads", F.filter("__limits", lambda _, i: i % BLOCK == 0))
+
+    # Two steps of BLOCK comparisons find the range of a row among thousands.
+    heads = F.size(F.filter("__heads", lambda b: b <= position))
+    block = F.slice("__limits", (F.greatest(heads, F.lit(1)) - 1) * BLOCK + 1, F.lit(BLOCK))
+    within = (heads - 1) * BLOCK + F.size(F.filter(block, lambda b: b <= position))
+    chunk = F.when(heads == 0, F.lit(0)).otherwise(within)
+    if descending:
+        chunk = -chunk
+    rows = (
+        df.join(F.broadcast(found), on_hot, "left")
+        .withColumn(CHUNK, F.when(F.col("__limits").isNotNull(), chunk))
+        .drop("__limits", "__heads", *[f"__h_{k}" for k in keys])
+    )
+    return Chunked(rows, keys, [*keys, CHUNK], True)
