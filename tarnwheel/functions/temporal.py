@@ -47,5 +47,5 @@ def whole_days(later: ColumnOrName, earlier: ColumnOrName) -> Column:
 
     Calendar-day difference would count one day for two hours over midnight.
     """
-    micros = F.unix_micros(_col(later).cast("timestamp")) - F.unix_micros(_col(earlier).cast("timestamp"))
-    return F.call_function("div", micros, F.lit(86_400_000_000))
+    span = _col(later).cast("timestamp_ntz") - _col(earlier).cast("timestamp_ntz")
+    return F.extract(F.lit("DAY"), span).cast("long")

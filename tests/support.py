@@ -96,7 +96,7 @@ if __name__ == "__main__":
     prefixes = [p for p in prefixes if "=" not in p]
     spark = build_session(
         master="local[8]",
-        settings={"spark.ui.enabled": "false", "spark.driver.memory": "8g", **extra},
+        settings={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", **extra},
     )
     spark.sparkContext.setLogLevel("ERROR")
     import __spark_entry__ as entry
