@@ -18,8 +18,7 @@ from tarnwheel.functions import (
 from tarnwheel.operators import share_of_rows, top_k
 
 from .catalogue import SQL_REVENUE, query, sql_mean, sql_money, sql_month, sql_round, sql_sum
-
-ROWS = F.count(F.lit(1))
+from .rollups import rows
 
 
 @query(
@@ -27,7 +26,7 @@ ROWS = F.count(F.lit(1))
     "SELECT p_type, count(*) AS count FROM part GROUP BY p_type",
 )
 def agg01(t):
-    return t.part.groupBy("p_type").agg(ROWS.alias("count"))
+    return t.part.groupBy("p_type").agg(rows().alias("count"))
 
 
 @query(
@@ -35,7 +34,7 @@ def agg01(t):
     "SELECT p_brand, count(*) AS count FROM part GROUP BY p_brand",
 )
 def agg02(t):
-    return t.part.groupBy("p_brand").agg(ROWS.alias("count"))
+    return t.part.groupBy("p_brand").agg(rows().alias("count"))
 
 
 @query(
@@ -88,7 +87,7 @@ def agg06(t):
             sum_dp(money("l_quantity")).alias("sum_qty"),
             sum_dp(money("l_extendedprice")).alias("sum_price"),
             mean_dp(money("l_discount"), 4).alias("avg_disc"),
-            ROWS.alias("count_order"),
+            rows().alias("count_order"),
         )
         .orderBy("l_returnflag", "l_linestatus")
     )
@@ -103,7 +102,7 @@ def agg06(t):
 def agg07(t):
     return (
         t.orders.groupBy(iso_year("o_orderdate").alias("year"))
-        .agg(ROWS.alias("order_count"), sum_dp(money("o_totalprice")).alias("total_sales"))
+        .agg(rows().alias("order_count"), sum_dp(money("o_totalprice")).alias("total_sales"))
         .orderBy("year")
     )
 
@@ -126,7 +125,7 @@ def agg08(t):
 def agg09(t):
     return (
         t.lineitem.groupBy(iso_month("l_shipdate").alias("month"))
-        .agg(ROWS.alias("line_count"))
+        .agg(rows().alias("line_count"))
         .orderBy("month")
     )
 
@@ -139,7 +138,7 @@ def agg09(t):
 def agg10(t):
     return (
         t.orders.groupBy("o_orderpriority", "o_orderstatus")
-        .agg(ROWS.alias("count"))
+        .agg(rows().alias("count"))
         .orderBy("o_orderpriority", "o_orderstatus")
     )
 
@@ -177,7 +176,7 @@ def agg12(t):
         FROM (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey)""",
 )
 def agg13(t):
-    per_customer = t.orders.groupBy("o_custkey").agg(ROWS.alias("n_orders"))
+    per_customer = t.orders.groupBy("o_custkey").agg(rows().alias("n_orders"))
     return per_customer.agg(
         F.min("n_orders").alias("min_orders"),
         F.max("n_orders").alias("max_orders"),
@@ -207,7 +206,7 @@ def agg14(t):
 def agg15(t):
     parts = t.part
     per_type = parts.groupBy("p_type").agg(
-        mean_dp(money("p_retailprice"), 2).alias("avg_price"), ROWS.alias("n")
+        mean_dp(money("p_retailprice"), 2).alias("avg_price"), rows().alias("n")
     )
     return per_type.select(
         "p_type", "avg_price", share_of_rows(per_type, "n", parts, 1).alias("pct_of_total")

@@ -37,7 +37,7 @@ from .catalogue import (
 )
 from .full import SQL_TO_NATION, SQL_TO_REGION
 from .rollups import (
-    ROWS,
+    rows,
     dp2,
     fold,
     lines_per_order,
@@ -60,7 +60,7 @@ def opt01(t):
 
 @query("opt02_parts_per_size", "SELECT p_size, count(*) AS count FROM part GROUP BY p_size")
 def opt02(t):
-    return t.part.groupBy("p_size").agg(ROWS.alias("count"))
+    return t.part.groupBy("p_size").agg(rows().alias("count"))
 
 
 @query("opt03_negative_balances", "SELECT c_name, c_acctbal FROM customer WHERE c_acctbal < 0")
@@ -99,7 +99,7 @@ def opt06(t):
        JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""",
 )
 def opt07(t):
-    counted = t.orders.groupBy("o_custkey").agg(ROWS.alias("n"))
+    counted = t.orders.groupBy("o_custkey").agg(rows().alias("n"))
     placed = join_suffix(
         counted, t.customer.select("c_custkey", "c_mktsegment"), left_on="o_custkey", right_on="c_custkey"
     )
@@ -136,7 +136,7 @@ def opt09(t):
 )
 def opt10(t):
     per_part = t.lineitem.groupBy("l_partkey").agg(
-        F.sum(money("l_extendedprice")).alias("price"), ROWS.alias("n")
+        F.sum(money("l_extendedprice")).alias("price"), rows().alias("n")
     )
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("price"))
     typed = join_suffix(per_part, parts, "l_partkey")
@@ -325,7 +325,7 @@ def opt21(t):
 )
 def opt22(t):
     per_flag = t.lineitem.groupBy("l_returnflag").agg(
-        mean_dp(revenue(), 2).alias("avg_rev"), ROWS.alias("n_lines")
+        mean_dp(revenue(), 2).alias("avg_rev"), rows().alias("n_lines")
     )
     return per_flag.orderBy(F.desc("avg_rev"), "l_returnflag")
 
@@ -365,7 +365,7 @@ def opt24(t):
 )
 def opt25(t):
     solvent = t.supplier.withColumn("solvent", F.col("s_acctbal") > 0).where("solvent")
-    counted = t.lineitem.groupBy("l_suppkey").agg(ROWS.alias("n"))
+    counted = t.lineitem.groupBy("l_suppkey").agg(rows().alias("n"))
     named = join_suffix(counted, solvent, left_on="l_suppkey", right_on="s_suppkey")
     totals = named.groupBy("s_name").agg(F.sum("n").alias("line_count"))
     return totals.orderBy(F.desc("line_count"), "s_name")
@@ -461,7 +461,7 @@ def opt30(t):
     sent = (
         _delivery_days(t, "LARGE")
         .groupBy("o_custkey")
-        .agg(mean_dp("days", 1).alias("avg_days"), ROWS.alias("n_lines"))
+        .agg(mean_dp("days", 1).alias("avg_days"), rows().alias("n_lines"))
     )
     paid = t.orders.groupBy("o_custkey").agg(sum_dp(money("o_totalprice")).alias("total_paid"))
     both = join_suffix(sent, paid, "o_custkey")

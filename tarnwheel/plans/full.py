@@ -20,7 +20,7 @@ from tarnwheel.operators import arg_first, growth_pct, join_suffix, pivot_sorted
 
 from .catalogue import SQL_REVENUE, query, sql_mean, sql_money, sql_month, sql_round, sql_sum
 from .rollups import (
-    ROWS,
+    rows,
     dp2,
     fold,
     lines_per_order,
@@ -179,7 +179,7 @@ def pip08(t):
     per = placed.groupBy("o_custkey").agg(
         day_gap(F.lit("2001-08-02").cast("date"), F.max(F.to_date("o_orderdate"))).alias("recency"),
         # One row per order here, so counting rows counts distinct orders.
-        ROWS.alias("frequency"),
+        rows().alias("frequency"),
         sum_dp("rev").alias("monetary"),
     )
     return per.orderBy(F.desc("monetary"), "o_custkey")
@@ -194,7 +194,7 @@ def pip08(t):
        QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY n DESC, p_type) = 1""",
 )
 def pip09(t):
-    pairs = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(ROWS.alias("n"))
+    pairs = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(rows().alias("n"))
     typed = join_suffix(pairs, t.part.select("p_partkey", "p_type"), left_on="l_partkey", right_on="p_partkey")
     per_type = refold(typed, "l_suppkey", "p_type", measures=("n",))
     sold = join_suffix(
@@ -226,7 +226,7 @@ def pip09(t):
 )
 def pip10(t):
     per_nation = t.customer.groupBy("c_nationkey").agg(
-        ROWS.alias("n"), F.sum(money("c_acctbal")).alias("balance")
+        rows().alias("n"), F.sum(money("c_acctbal")).alias("balance")
     )
     named = with_region(
         t, join_suffix(per_nation, t.nation, left_on="c_nationkey", right_on="n_nationkey")
@@ -268,7 +268,7 @@ def pip11(t):
 def pip12(t):
     per_order = t.lineitem.groupBy("l_orderkey").agg(
         sum_dp(revenue()).alias("total_rev"),
-        ROWS.alias("n_lines"),
+        rows().alias("n_lines"),
         mean_dp(money("l_discount"), 3).alias("avg_disc"),
     )
     value_class = (
@@ -307,7 +307,7 @@ def pip13(t):
 )
 def pip14(t):
     per_part = t.lineitem.groupBy("l_partkey").agg(
-        F.sum(money("l_extendedprice")).alias("price"), ROWS.alias("n")
+        F.sum(money("l_extendedprice")).alias("price"), rows().alias("n")
     )
     branded = join_suffix(
         per_part, t.part.select("p_partkey", "p_brand"), left_on="l_partkey", right_on="p_partkey"

@@ -8,7 +8,7 @@ from tarnwheel.functions import iso_dates, iso_year, money, revenue, sum_dp
 from tarnwheel.operators import anti_join, join_suffix, top_k
 
 from .catalogue import SQL_REVENUE, query, sql_date, sql_money, sql_sum
-from .rollups import ROWS, dp2, fold, per_customer_nation, refold
+from .rollups import rows, dp2, fold, per_customer_nation, refold
 
 
 @query(
@@ -138,7 +138,7 @@ def joi10(t):
        JOIN part ON l_partkey = p_partkey""",
 )
 def joi11(t):
-    counted = t.lineitem.groupBy("l_partkey").agg(ROWS.alias("line_count"))
+    counted = t.lineitem.groupBy("l_partkey").agg(rows().alias("line_count"))
     best = top_k(counted, 1, "line_count", "l_partkey")
     return join_suffix(best, t.part, left_on="l_partkey", right_on="p_partkey").select("p_name", "line_count")
 

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from . import aggregations, evaluation, filters, final, full, joins, windows  # noqa: F401
+from . import aggregations, evaluation, filters, final, full, joins, streams, windows  # noqa: F401
 from .catalogue import CATALOGUE
 
 __all__ = ["CATALOGUE"]

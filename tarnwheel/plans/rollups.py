@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tarnwheel.functions import revenue
 from tarnwheel.operators import join_suffix
 
-ROWS = F.count(F.lit(1))
+def rows():
+    return F.count(F.lit(1))
 
 
 def fold(df: DataFrame, *keys: str, **measures: Column) -> DataFrame:
@@ -32,7 +33,7 @@ def revenue_per_order(t) -> DataFrame:
 
 
 def lines_per_order(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("l_orderkey").agg(ROWS.alias("n"))
+    return lines.groupBy("l_orderkey").agg(rows().alias("n"))
 
 
 def with_orders(per_order: DataFrame, orders: DataFrame) -> DataFrame:

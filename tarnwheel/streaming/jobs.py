@@ -14,6 +14,7 @@ from tarnwheel.operators.scoring import submission_aggregates
 from tarnwheel.sources.records import parse_records, stream_records
 
 DUPLICATE_WINDOW = "1 day"
+SPLITS = 64
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
@@ -49,15 +50,24 @@ def aggregate_stream(
 ):
     """Start the running aggregates per submission over deduplicated answers.
 
+    Duplicates are dropped in two steps, first among the records of neighbouring
+    file splits, so that many copies of one record do not meet in one task.  The
+    split number depends on the place in the file only: a repeated task sends the
+    same rows to the same place.
+
     Every batch writes the submissions it changed to a folder of its own, so a
     repeated batch overwrites itself.  ``latest_rows`` reads the result.
     """
-    parsed = parse_records(stream_records(spark, records, files_per_batch))
-    stamped = parsed.withColumn("ingested_at", F.current_timestamp())
+    place = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    source = stream_records(spark, records, files_per_batch).select(
+        "value", F.pmod(place, F.lit(SPLITS)).alias("split"), F.current_timestamp().alias("ingested_at")
+    )
+    key = ["submission_id", "question_id"]
     answers = (
-        answers_of(stamped, "ingested_at")
+        answers_of(parse_records(source), "split", "ingested_at")
         .withWatermark("ingested_at", DUPLICATE_WINDOW)
-        .dropDuplicatesWithinWatermark(["submission_id", "question_id"])
+        .dropDuplicatesWithinWatermark([*key, "split"])
+        .dropDuplicatesWithinWatermark(key)
     )
     totals = answers.groupBy("submission_id").agg(
         *[c.alias(n) for n, c in submission_aggregates().items()]
