@@ -1,6 +1,7 @@
 """Scalar and aggregate expressions built on the Spark function library."""
 
 from .numeric import (
+    amount,
     clamp,
     mean_dp,
     money,
@@ -11,11 +12,13 @@ from .numeric import (
     round_dp,
     sum_dp,
     sum_or_zero,
+    units,
 )
 from .temporal import day_gap, in_year, iso_date, iso_dates, iso_month, iso_year, whole_days
 from .text import digest16, last_json_line, slug
 
 __all__ = [
+    "amount",
     "clamp",
     "day_gap",
     "digest16",
@@ -35,5 +38,6 @@ __all__ = [
     "slug",
     "sum_dp",
     "sum_or_zero",
+    "units",
     "whole_days",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwheel.functions import clamp, power_floor, ratio, round_dp
+from tarnwheel.functions import amount, clamp, power_floor, ratio, round_dp, units
 
 # Fixed values of the scoring rules.
 EPSILON = 1e-6
@@ -23,9 +23,9 @@ DEFAULT_GENERATION_SECONDS = 60.0
 DEFAULT_EXECUTION_SECONDS = 10.0
 
 
-def exact(c: str) -> Column:
-    """Measurements as decimals, so that their sums do not depend on the row order."""
-    return F.col(c).cast("decimal(20,6)")
+def total(c: str) -> Column:
+    """Exact sum of measurements with six places."""
+    return amount(F.sum(units(c, 6)), 6)
 
 
 def peak_usage(samples: DataFrame, *keys: str) -> DataFrame:
@@ -43,9 +43,9 @@ def final_scores(answers: DataFrame, key: str) -> DataFrame:
     """Correct answers over generation time and damped mean memory, per run."""
     totals = answers.groupBy(key).agg(
         F.sum(is_correct().cast("long")).alias("correct"),
-        F.sum(exact("generation_seconds")).cast("double").alias("seconds"),
-        ratio(F.sum(exact("peak_gpu_mb")), F.count(F.lit(1))).alias("gpu"),
-        ratio(F.sum(exact("peak_ram_mb")), F.count(F.lit(1))).alias("ram"),
+        total("generation_seconds").cast("double").alias("seconds"),
+        ratio(total("peak_gpu_mb"), F.count(F.lit(1))).alias("gpu"),
+        ratio(total("peak_ram_mb"), F.count(F.lit(1))).alias("ram"),
     )
     divisor = (
         F.greatest(F.coalesce("seconds", F.lit(0.0)), F.lit(EPSILON))
@@ -75,8 +75,8 @@ def submission_aggregates() -> dict[str, Column]:
     return {
         "completed": F.count(F.lit(1)),
         "exact_matches": F.count(F.when(F.col("exact_match"), 1)),
-        "avg_generation_seconds": ratio(F.sum(exact("generation_seconds")), F.count("generation_seconds")),
-        "avg_execution_seconds": ratio(F.sum(exact("execution_seconds")), F.count("execution_seconds")),
+        "avg_generation_seconds": ratio(total("generation_seconds"), F.count("generation_seconds")),
+        "avg_execution_seconds": ratio(total("execution_seconds"), F.count("execution_seconds")),
         "peak_ram_mb": F.max("peak_ram_mb"),
         "peak_gpu_mb": F.max("peak_gpu_mb"),
     }

@@ -6,7 +6,7 @@ the key is cut into ranges (see ``skew``) and the result is put together exactly
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,14 +146,23 @@ def previous_value(
 
 
 def rolling_mean(
-    df: DataFrame, value: Column, keys: Sequence[str], order: Sequence[str], size: int, name: str
+    df: DataFrame,
+    value: Column,
+    keys: Sequence[str],
+    order: Sequence[str],
+    size: int,
+    name: str,
+    total: Callable[[Column], Column] = lambda c: c,
 ) -> DataFrame:
-    """Mean of the last ``size`` rows; null until there are that many non-null ones."""
+    """Mean of the last ``size`` rows; null until there are that many non-null ones.
+
+    ``total`` turns a sum of ``value`` into the number that is divided.
+    """
     held = df.withColumn("__value", value)
 
     def build(window):
         frame = window.rowsBetween(1 - size, 0)
-        mean = ratio(F.sum("__value").over(frame), F.lit(size))
+        mean = ratio(total(F.sum("__value").over(frame)), F.lit(size))
         return {name: F.when(F.count("__value").over(frame) == size, mean)}
 
     return _with_neighbours(held, keys, order, size - 1, build).drop("__value")

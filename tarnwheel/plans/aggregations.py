@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwheel.functions import (
+    amount,
     iso_month,
     iso_year,
     mean_dp,
@@ -193,7 +194,7 @@ def agg13(t):
 def agg14(t):
     total = sum_or_zero(money("l_extendedprice"))
     return t.lineitem.groupBy("l_returnflag").agg(
-        round_dp(ratio(total, F.lit(1e6)), 2).alias("total_millions")
+        round_dp(ratio(amount(total), F.lit(1e6)), 2).alias("total_millions")
     )
 
 

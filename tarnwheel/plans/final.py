@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwheel.functions import (
+    amount,
     in_year,
     iso_month,
     mean_dp,
@@ -141,7 +142,7 @@ def opt10(t):
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("price"))
     typed = join_suffix(per_part, parts, "l_partkey")
     per_type = typed.groupBy(F.col("price_right").alias("type")).agg(
-        round_dp(ratio(ratio(F.sum("price"), F.sum("n")), F.lit(1000)), 1).alias("avg_thousands"),
+        round_dp(ratio(ratio(amount(F.sum("price")), F.sum("n")), F.lit(1000)), 1).alias("avg_thousands"),
         F.sum("n").alias("n_lines"),
     )
     return per_type.where(F.col("n_lines") > 9800)
@@ -214,7 +215,7 @@ def opt15(t):
     counted = fold(settled, "o_custkey", rev=money("o_totalprice"), n=F.lit(1))
     nations = per_customer_nation(t, counted, ("rev", "n"))
     means = nations.groupBy("n_name").agg(
-        round_dp(ratio(F.sum("rev"), F.sum("n")), 2).alias("avg_value")
+        round_dp(ratio(amount(F.sum("rev")), F.sum("n")), 2).alias("avg_value")
     )
     return top_k(means, 5, "avg_value", "n_name")
 
@@ -241,6 +242,10 @@ def _delivery_days(t, p_type: str):
     return placed.select("o_custkey", whole_days("l_shipdate", "o_orderdate").alias("days"))
 
 
+def mean_days():
+    return round_dp(ratio(F.sum("days"), F.count("days")), 1)
+
+
 @query(
     "opt17_mean_delivery_days",
     f"""SELECT {sql_mean("date_sub('day', o_orderdate, l_shipdate)", 1)} AS avg_days FROM lineitem
@@ -248,7 +253,7 @@ def _delivery_days(t, p_type: str):
         WHERE p_type = 'SMALL' AND l_shipdate IS NOT NULL""",
 )
 def opt17(t):
-    return _delivery_days(t, "SMALL").agg(mean_dp("days", 1).alias("avg_days"))
+    return _delivery_days(t, "SMALL").agg(mean_days().alias("avg_days"))
 
 
 @query(
@@ -312,8 +317,8 @@ def opt21(t):
     return ranked.withColumns(
         {
             "o_orderdate": F.to_date("o_orderdate").cast("string"),
-            "running_total": F.col("running_total").cast("double"),
-            "customer_total": F.col("customer_total").cast("double"),
+            "running_total": amount("running_total").cast("double"),
+            "customer_total": amount("customer_total").cast("double"),
         }
     )
 
@@ -461,7 +466,7 @@ def opt30(t):
     sent = (
         _delivery_days(t, "LARGE")
         .groupBy("o_custkey")
-        .agg(mean_dp("days", 1).alias("avg_days"), rows().alias("n_lines"))
+        .agg(mean_days().alias("avg_days"), rows().alias("n_lines"))
     )
     paid = t.orders.groupBy("o_custkey").agg(sum_dp(money("o_totalprice")).alias("total_paid"))
     both = join_suffix(sent, paid, "o_custkey")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwheel.functions import (
+    amount,
     day_gap,
     iso_month,
     in_year,
@@ -314,7 +315,7 @@ def pip14(t):
     )
     per_brand = branded.groupBy(F.col("p_brand").alias("brand")).agg(
         F.sum("n").alias("line_count"),
-        round_dp(ratio(ratio(F.sum("price"), F.sum("n")), F.lit(1000)), 2).alias("avg_thousands"),
+        round_dp(ratio(ratio(amount(F.sum("price")), F.sum("n")), F.lit(1000)), 2).alias("avg_thousands"),
     )
     kept = per_brand.where((F.col("avg_thousands") > 24.2) & (F.col("line_count") > 2200))
     return kept.orderBy(F.desc("avg_thousands"), "brand")

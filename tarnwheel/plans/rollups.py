@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwheel.functions import revenue
+from tarnwheel.functions import amount, revenue
 from tarnwheel.operators import join_suffix
 
 def rows():
@@ -67,4 +67,5 @@ def with_region(t, by_nation: DataFrame) -> DataFrame:
 
 
 def dp2(name: str) -> Column:
-    return F.round(name, 2).cast("double")
+    """A folded amount with two places, as a double."""
+    return F.round(amount(name), 2).cast("double")

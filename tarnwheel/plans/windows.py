@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwheel.functions import day_gap, iso_date, iso_dates, money, ratio, round_dp
+from tarnwheel.functions import amount, day_gap, iso_date, iso_dates, money, ratio, revenue, round_dp
 from tarnwheel.operators import (
     dense_rank_desc,
     group_totals,
@@ -38,7 +38,7 @@ def _orders(t):
                           AS DOUBLE) AS revenue FROM lineitem)""",
 )
 def win01(t):
-    value = F.round(money("l_extendedprice") * F.col("l_quantity").cast("decimal(10,0)"), 2).cast("double")
+    value = amount(revenue(discount=None, quantity="l_quantity")).cast("double")
     lines = t.lineitem.select(*LINE_KEY, value.alias("revenue"))
     return dense_rank_desc(lines, "revenue", ["l_orderkey"], "rank_in_order")
 
@@ -54,7 +54,7 @@ def win02(t):
     summed = running_sum(
         _orders(t), money("o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "running_total"
     )
-    return iso_dates(summed.withColumn("running_total", F.col("running_total").cast("double")))
+    return iso_dates(summed.withColumn("running_total", amount("running_total").cast("double")))
 
 
 @query(
@@ -97,7 +97,7 @@ def win04(t):
 def win05(t):
     orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     held = group_totals(orders, ["o_custkey"], total=F.sum(money("o_totalprice")))
-    share = round_dp(ratio("o_totalprice", "total") * 100, 2)
+    share = round_dp(ratio("o_totalprice", amount("total")) * 100, 2)
     return held.withColumn("pct_of_total", share).drop("total")
 
 
@@ -113,7 +113,7 @@ def win06(t):
     lines = t.lineitem.select(*LINE_KEY, "l_extendedprice")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     summed = running_sum(lines, money("l_extendedprice"), ["l_orderkey"], order, "cum_price")
-    return summed.withColumn("cum_price", F.col("cum_price").cast("double"))
+    return summed.withColumn("cum_price", amount("cum_price").cast("double"))
 
 
 @query(
@@ -141,7 +141,7 @@ def win08(t):
     held = group_totals(
         lines, ["l_partkey"], total=F.sum(money("l_quantity")), n=F.count("l_quantity")
     )
-    gap = round_dp(F.col("l_quantity") - ratio("total", "n"), 2)
+    gap = round_dp(F.col("l_quantity") - ratio(amount("total"), "n"), 2)
     return held.withColumn("qty_diff_from_avg", gap).drop("total", "n")
 
 
@@ -192,7 +192,7 @@ def win11(t):
 def win12(t):
     lines = t.lineitem.select(*LINE_KEY, "l_extendedprice")
     held = group_totals(lines, ["l_orderkey"], total=F.sum(money("l_extendedprice")))
-    share = round_dp(ratio("l_extendedprice", "total") * 100, 2)
+    share = round_dp(ratio("l_extendedprice", amount("total")) * 100, 2)
     return held.withColumn("pct_of_order", share).drop("total")
 
 
@@ -212,7 +212,7 @@ def win13(t):
         n=F.count("p_retailprice"),
         spread=F.stddev_samp("p_retailprice"),
     )
-    score = round_dp(ratio(F.col("p_retailprice") - ratio("total", "n"), F.col("spread")), 2)
+    score = round_dp(ratio(F.col("p_retailprice") - ratio(amount("total"), "n"), F.col("spread")), 2)
     return held.withColumn("price_zscore", score).drop("total", "n", "spread")
 
 
@@ -233,6 +233,7 @@ def win14(t):
         ["o_orderdate", "o_orderkey"],
         3,
         "rolling_avg_3",
+        total=amount,
     )
     return iso_dates(rolled.withColumn("rolling_avg_3", round_dp("rolling_avg_3", 4)))
 
@@ -249,4 +250,4 @@ def win15(t):
     lines = t.lineitem.select(*LINE_KEY, "l_shipdate", "l_extendedprice")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     summed = running_sum(lines, money("l_extendedprice"), ["l_suppkey"], order, "cum_revenue")
-    return iso_dates(summed.withColumn("cum_revenue", F.col("cum_revenue").cast("double")))
+    return iso_dates(summed.withColumn("cum_revenue", amount("cum_revenue").cast("double")))
