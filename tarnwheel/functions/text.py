@@ -24,6 +24,6 @@ def digest16(c: ColumnOrName) -> Column:
 
 
 def last_json_line(c: ColumnOrName, schema: T.StructType | str) -> Column:
-    """The last non-blank line of a text, parsed as JSON; null where it is not JSON."""
-    lines = F.filter(F.split(_col(c), "\r\n|\r|\n"), lambda line: F.length(F.trim(line)) > 0)
-    return F.from_json(F.trim(F.get(lines, F.size(lines) - 1)), schema)
+    """The last non-blank line of a text as JSON; null fields where it is not JSON."""
+    text = F.rtrim(F.translate(_col(c), "\r", "\n"), F.lit(" \t\n\f"))
+    return F.from_json(F.trim(F.substring_index(text, "\n", -1)), schema)

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import arg_first
 from .windows import group_totals
 
 
 def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], largest: bool) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    picked = arg_first(rest, [F.col(c) for c in order], largest=largest).alias("__row")
-    return df.groupBy(*keys).agg(picked).select(*keys, "__row.*").select(*df.columns)
+    """Row number 1 per key.
+
+    Spark limits every key to one row per task before the shuffle, so copies of
+    one row, however many, do not meet in one task.
+    """
+    by = [F.col(c).desc() if largest else F.col(c) for c in order]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return df.withColumn("__nth", number).where(F.col("__nth") == 1).drop("__nth")
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -59,27 +59,30 @@ def stream_records(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.text(path)
 
 
-def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+# Lines end at "\n" only; blanks around the text of a field do not count.
+EVENT_LINE = r"(?dm)^event:[^\S\n]*(.*?)[^\S\n]*$"
+DATA_LINE = r"(?dm)^data:[^\S\n]*(.*?)[^\S\n]*$"
 
 
 def parse_records(records: DataFrame, schema: T.StructType = ANSWER, column: str = "value") -> DataFrame:
     """Add ``event``, ``raw`` and ``data``; records without a data line are dropped.
 
-    ``data`` is null where the text is not JSON; ``raw`` always keeps the text.
+    The last event line counts, and several data lines are one text.  Where the
+    text is not JSON the fields of ``data`` are null; ``raw`` always keeps it.
     """
-    lines = F.split(F.col(column), "\n")
-    named = F.filter(lines, lambda line: F.startswith(line, F.lit("event:")))
-    held = F.filter(lines, lambda line: F.startswith(line, F.lit("data:")))
-    event = F.when(F.size(named) > 0, _stripped(F.substring(F.get(named, F.size(named) - 1), 7, 2**31 - 1)))
-    raw = F.array_join(
-        F.transform(held, lambda line: _stripped(F.substring(line, 6, 2**31 - 1))), "\n"
-    )
-    parsed = F.when(F.try_parse_json("raw").isNotNull(), F.from_json("raw", schema))
+    named = F.regexp_extract_all(column, F.lit(EVENT_LINE), F.lit(1))
+    held = F.regexp_extract_all(column, F.lit(DATA_LINE), F.lit(1))
     return (
-        records.where(F.size(held) > 0)
-        .withColumns({"event": F.coalesce(event, F.lit(DEFAULT_EVENT)), "raw": raw})
-        .withColumn("data", parsed)
+        records.withColumns({"__named": named, "__held": held})
+        .where(F.size("__held") > 0)
+        .withColumns(
+            {
+                "event": F.coalesce(F.try_element_at("__named", F.lit(-1)), F.lit(DEFAULT_EVENT)),
+                "raw": F.array_join("__held", "\n"),
+            }
+        )
+        .drop("__named", "__held")
+        .withColumn("data", F.from_json("raw", schema))
     )
 
 
