@@ -60,8 +60,9 @@ def stream_records(spark: SparkSession, path: str, files_per_batch: int | None =
 
 
 # Lines end at "\n" only; blanks around the text of a field do not count.
-EVENT_LINE = r"(?dm)^event:[^\S\n]*(.*?)[^\S\n]*$"
-DATA_LINE = r"(?dm)^data:[^\S\n]*(.*?)[^\S\n]*$"
+EVENT_LINE = r"(?dm)^event:[^\S\n]*(.*)$"
+DATA_LINE = r"(?dm)^data:[^\S\n]*(.*)$"
+BLANKS = " \t\r\f"
 
 
 def parse_records(records: DataFrame, schema: T.StructType = ANSWER, column: str = "value") -> DataFrame:
@@ -70,18 +71,18 @@ def parse_records(records: DataFrame, schema: T.StructType = ANSWER, column: str
     The last event line counts, and several data lines are one text.  Where the
     text is not JSON the fields of ``data`` are null; ``raw`` always keeps it.
     """
-    named = F.regexp_extract_all(column, F.lit(EVENT_LINE), F.lit(1))
-    held = F.regexp_extract_all(column, F.lit(DATA_LINE), F.lit(1))
+    named = F.try_element_at(F.regexp_extract_all(column, F.lit(EVENT_LINE), F.lit(1)), F.lit(-1))
+    held = F.transform(
+        F.regexp_extract_all(column, F.lit(DATA_LINE), F.lit(1)), lambda line: F.rtrim(line, F.lit(BLANKS))
+    )
     return (
-        records.withColumns({"__named": named, "__held": held})
-        .where(F.size("__held") > 0)
+        records.where(F.col(column).rlike("(?dm)^data:"))
         .withColumns(
             {
-                "event": F.coalesce(F.try_element_at("__named", F.lit(-1)), F.lit(DEFAULT_EVENT)),
-                "raw": F.array_join("__held", "\n"),
+                "event": F.coalesce(F.rtrim(named, F.lit(BLANKS)), F.lit(DEFAULT_EVENT)),
+                "raw": F.array_join(held, "\n"),
             }
         )
-        .drop("__named", "__held")
         .withColumn("data", F.from_json("raw", schema))
     )
 
