@@ -28,12 +28,19 @@ def share_of_rows(grouped: DataFrame, count: str, source: DataFrame, places: int
 
 
 def pivot_sorted(
-    df: DataFrame, index: str, column: str, values: Sequence[str], cell: Column, *, fill: float | None = None
+    df: DataFrame,
+    index: str,
+    column: str,
+    values: Sequence[str] | None,
+    cell: Column,
+    *,
+    fill: float | None = None,
 ) -> DataFrame:
     """One row per ``index``, one column per value, in sorted order.
 
-    The values are named by the caller, so that the schema does not depend on
-    the data and no extra job has to look for them.
+    With the values named by the caller the schema does not depend on the data
+    and no extra job has to look for them.  With ``None`` Spark finds them, and
+    refuses a column with more than ``spark.sql.pivotMaxValues`` of them.
     """
-    wide = df.groupBy(index).pivot(column, sorted(values)).agg(cell)
+    wide = df.groupBy(index).pivot(column, None if values is None else sorted(values)).agg(cell)
     return wide if fill is None else wide.fillna(fill)
