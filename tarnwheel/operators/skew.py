@@ -54,9 +54,13 @@ def _hot_counts(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, i
     return (df.sparkSession.createDataFrame(rows, counts.schema) if rows else None), limit
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """The hot keys as a small local table, or None if there are none."""
-    hot, _ = _hot_counts(df, keys)
+def hot_keys(df: DataFrame, keys: Sequence[str], sizes: DataFrame | None = None) -> DataFrame | None:
+    """The hot keys as a small local table, or None if there are none.
+
+    ``sizes`` may name a table that is cheaper to count than ``df`` and has at
+    least as many rows of every key, such as the table that ``df`` was made from.
+    """
+    hot, _ = _hot_counts(df if sizes is None else sizes, keys)
     return None if hot is None else hot.select(*keys)
 
 
@@ -95,7 +99,12 @@ class Chunked:
 
 
 def order_chunks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, descending: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    *,
+    descending: bool = False,
+    sizes: DataFrame | None = None,
 ) -> Chunked:
     """Cut the hot keys into ranges of ``order``; other keys stay whole.
 
@@ -105,8 +114,9 @@ def order_chunks(
     keys = list(keys)
     if not keys:
         df = df.withColumn(WHOLE, F.lit(1))
+        sizes = None if sizes is None else sizes.withColumn(WHOLE, F.lit(1))
         keys = [WHOLE]
-    hot, limit = _hot_counts(df, keys)
+    hot, limit = _hot_counts(df if sizes is None else sizes, keys)
     if hot is None:
         return Chunked(df, keys, keys, False)
 

@@ -33,7 +33,7 @@ def leaderboard(submissions: DataFrame, teams: DataFrame) -> DataFrame:
         left_on="team_id",
         right_on="id",
     ).withColumn("__lost", -F.col("final_score"))
-    ranked = ordinal_rank(named, [], ["__lost", "finished_at", "submission_id"], "rank")
+    ranked = ordinal_rank(named, [], ["__lost", "finished_at", "submission_id"], "rank", sizes=teams)
     return ranked.select(
         "rank", "team_id", "team_name", "team_slug", "submission_id", "final_score", "finished_at"
     )

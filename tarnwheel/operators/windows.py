@@ -2,6 +2,8 @@
 
 Without a hot key every function here is the plain window expression.  With one,
 the key is cut into ranges (see ``skew``) and the result is put together exactly.
+Hot keys are found by counting the keys of the input, or of ``sizes`` where that
+is given: a table that is cheaper to count and has no fewer rows of any key.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ def _cumulative(
     local: Column,
     per_chunk: Column,
     descending: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    chunks = order_chunks(df, keys, order, descending=descending)
+    chunks = order_chunks(df, keys, order, descending=descending, sizes=sizes)
     by = [F.col(c).desc() for c in order] if descending else [F.col(c) for c in order]
     frame = (
         Window.partitionBy(*chunks.partition).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
@@ -45,7 +48,12 @@ def _cumulative(
 
 
 def running_sum(
-    df: DataFrame, value: Column, keys: Sequence[str], order: Sequence[str], name: str
+    df: DataFrame,
+    value: Column,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from the first row of the key to this one (rows, not peers).
 
@@ -53,7 +61,7 @@ def running_sum(
     """
     held = df.withColumn("__value", value)
     total = F.sum(F.coalesce(F.col("__value"), F.lit(0)))
-    summed = _cumulative(held, keys, order, name, total, total)
+    summed = _cumulative(held, keys, order, name, total, total, sizes=sizes)
     return summed.withColumn(name, F.when(F.col("__value").isNotNull(), F.col(name))).drop("__value")
 
 
@@ -63,15 +71,26 @@ def running_count(df: DataFrame, value: str, keys: Sequence[str], order: Sequenc
 
 
 def ordinal_rank(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, descending: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    *,
+    descending: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """1, 2, 3 … in the given order, which must be unique inside a key."""
     one = F.count(F.lit(1))
-    return _cumulative(df, keys, order, name, one, one, descending)
+    return _cumulative(df, keys, order, name, one, one, descending, sizes)
 
 
-def dense_rank_desc(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
-    """Dense rank, greatest first; a null value has a null rank."""
+def dense_rank_desc(
+    df: DataFrame, value: str, keys: Sequence[str], name: str, values: DataFrame | None = None
+) -> DataFrame:
+    """Dense rank, greatest first; a null value has a null rank.
+
+    ``values`` may name a smaller table with the same ``keys`` and values.
+    """
     keys = list(keys)
     if keys:
         hot = hot_keys(df, keys)
@@ -80,15 +99,18 @@ def dense_rank_desc(df: DataFrame, value: str, keys: Sequence[str], name: str) -
             rank = F.when(F.col(value).isNotNull(), F.dense_rank().over(window).cast("long"))
             return df.withColumn(name, rank)
     # The rank of a value is its position among the distinct values of the key.
-    distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
-    ranked = ordinal_rank(distinct, keys, [value], name, descending=True)
+    source = df if values is None else values
+    held = source.where(F.col(value).isNotNull()).select(*keys, value)
+    ranked = ordinal_rank(held.distinct(), keys, [value], name, descending=True, sizes=held)
     parts = [*keys, value]
     ranked = ranked.select(*[F.col(c).alias(f"__r_{c}") for c in parts], name)
     joined = df.join(ranked, same_keys(parts, [f"__r_{c}" for c in parts]), "left")
     return joined.select(*df.columns, name)
 
 
-def group_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+def group_totals(
+    df: DataFrame, keys: Sequence[str], sizes: DataFrame | None = None, **aggregates: Column
+) -> DataFrame:
     """Add aggregates of the whole key to each of its rows.
 
     The rows of hot keys are not shuffled at all: their aggregates, one row per
@@ -96,7 +118,7 @@ def group_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> Da
     """
     keys = list(keys)
     window = Window.partitionBy(*keys)
-    hot = hot_keys(df, keys)
+    hot = hot_keys(df, keys, sizes)
     if hot is None:
         return df.withColumns({name: agg.over(window) for name, agg in aggregates.items()})
     named = hot.select([F.col(k).alias(f"__h_{k}") for k in keys])

@@ -228,7 +228,12 @@ def v04_rows(t):
 )
 def v06(t):
     counted = running_sum(
-        d.answers(t), is_correct().cast("long"), ["submission_id"], ["index"], "correct_so_far"
+        d.answers(t),
+        is_correct().cast("long"),
+        ["submission_id"],
+        ["index"],
+        "correct_so_far",
+        sizes=d.attempts(t),
     )
     return counted.select("submission_id", "index", "correct_so_far")
 
@@ -464,7 +469,7 @@ def x06(t):
           || total || ',"correct_so_far":' || correct_so_far || '}}' AS record FROM counted""",
 )
 def x08(t):
-    return progress_records(d.answers(t))
+    return progress_records(d.answers(t), sizes=d.attempts(t))
 
 
 __all__ = ["CATALOGUE"]

@@ -312,8 +312,9 @@ def opt21(t):
     summed = running_sum(
         orders, money("o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "running_total"
     )
-    held = group_totals(summed, ["o_custkey"], customer_total=F.sum(money("o_totalprice")))
-    ranked = dense_rank_desc(held, "customer_total", [], "customer_rank")
+    held = group_totals(summed, ["o_custkey"], sizes=orders, customer_total=F.sum(money("o_totalprice")))
+    totals = orders.groupBy("o_custkey").agg(F.sum(money("o_totalprice")).alias("customer_total"))
+    ranked = dense_rank_desc(held, "customer_total", [], "customer_rank", values=totals)
     return ranked.withColumns(
         {
             "o_orderdate": F.to_date("o_orderdate").cast("string"),

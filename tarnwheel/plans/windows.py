@@ -167,7 +167,7 @@ def win09(t):
 def win10(t):
     orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     ranked = ordinal_rank(orders, ["o_custkey"], ["o_totalprice", "o_orderkey"], "r")
-    held = group_totals(ranked, ["o_custkey"], last=F.max("r"))
+    held = group_totals(ranked, ["o_custkey"], sizes=orders, last=F.max("r"))
     return held.withColumn("pct_rank", round_dp(ratio("r", "last") * 100, 1)).drop("r", "last")
 
 

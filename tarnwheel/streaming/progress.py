@@ -32,12 +32,12 @@ def final_rows(summary: DataFrame, state: DataFrame) -> DataFrame:
     return with_scores(finished)
 
 
-def progress_records(answers: DataFrame) -> DataFrame:
+def progress_records(answers: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """One ``progress`` record per answered question with the correct ones so far."""
     counted = running_sum(
-        answers, is_correct().cast("long"), ["submission_id"], ["index"], "correct_so_far"
+        answers, is_correct().cast("long"), ["submission_id"], ["index"], "correct_so_far", sizes=sizes
     )
-    held = group_totals(counted, ["submission_id"], total=F.count(F.lit(1)))
+    held = group_totals(counted, ["submission_id"], sizes=answers if sizes is None else sizes, total=F.count(F.lit(1)))
     payload = F.struct(
         F.lit("question_done").alias("step"), F.col("index"), F.col("total"), F.col("correct_so_far")
     )

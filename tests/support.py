@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import pandas as pd
+from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 if str(ROOT) not in sys.path:
@@ -94,10 +95,15 @@ if __name__ == "__main__":
     scale, *prefixes = sys.argv[1:] or ["sf0.01"]
     extra = dict(a.split("=", 1) for a in prefixes if "=" in a)
     prefixes = [p for p in prefixes if "=" not in p]
-    spark = build_session(
-        master="local[8]",
-        settings={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", **extra},
-    )
+    quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
+    if "plain" in prefixes:  # a session that knows nothing of this package
+        prefixes.remove("plain")
+        builder = SparkSession.builder.master("local[8]")
+        for key, value in {**quiet, **extra}.items():
+            builder = builder.config(key, value)
+        spark = builder.getOrCreate()
+    else:
+        spark = build_session(master="local[8]", settings={**quiet, **extra})
     spark.sparkContext.setLogLevel("ERROR")
     import __spark_entry__ as entry
 
