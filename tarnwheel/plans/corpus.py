@@ -117,9 +117,11 @@ SQL: dict[str, str] = {
     "JOI06": """SELECT name AS singer_name, concert_name, year FROM sp_performance
                 JOIN sp_singer USING (singer_id) JOIN sp_concert USING (concert_id)""",
     "JOI07": """SELECT * FROM nw_customers c
-                WHERE NOT EXISTS (SELECT 1 FROM nw_orders o WHERE o.customer_id = c.customer_id)""",
+                WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT customer_id FROM nw_orders) AS o
+                                  WHERE o.customer_id = c.customer_id)""",
     "JOI08": """SELECT * FROM sp_singer s
-                WHERE NOT EXISTS (SELECT 1 FROM sp_performance p WHERE p.singer_id = s.singer_id)""",
+                WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT singer_id FROM sp_performance) AS p
+                                  WHERE p.singer_id = s.singer_id)""",
     "JOI09": f"""SELECT category_name, {sql_sum('rev')} AS total_revenue
                  FROM (SELECT product_id, sum({_value()}) AS rev FROM nw_order_details GROUP BY product_id) AS per
                  JOIN nw_products USING (product_id) JOIN nw_categories USING (category_id)
