@@ -67,8 +67,12 @@ def ratio(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:
 
 
 def round_dp(c: ColumnOrName, places: int) -> Column:
-    """Round a double through its decimal text, so that 1.005 becomes 1.01."""
-    return F.round(_col(c).try_cast("decimal(38,12)"), places).cast("double")
+    """Round half up what a double stands for, so that 1.005 becomes 1.01.
+
+    Nine places first: that removes the last-digit noise of a division such as
+    1584344.23 / 14, which is a tie in decimals but not in doubles.
+    """
+    return F.round(_col(c).try_cast("decimal(38,9)"), places).cast("double")
 
 
 def mean_dp(c: ColumnOrName, places: int) -> Column:

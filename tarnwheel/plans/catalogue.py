@@ -52,7 +52,7 @@ def sql_sum(expression: str, places: int = 2) -> str:
 
 
 def sql_round(expression: str, places: int) -> str:
-    return f"CAST(round(CAST({expression} AS DECIMAL(38,12)), {places}) AS DOUBLE)"
+    return f"CAST(round(CAST({expression} AS DECIMAL(38,9)), {places}) AS DOUBLE)"
 
 
 def sql_mean(expression: str, places: int) -> str:

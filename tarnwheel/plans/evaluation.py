@@ -413,7 +413,7 @@ def l06(t):
     per = d.answers(t).groupBy("submission_id").agg(
         F.max("index").alias("total"), F.count(F.lit(1)).alias("completed")
     )
-    shown = F.round(progress(F.col("completed"), F.col("total")).cast("decimal(38,12)"), 6).cast("double")
+    shown = F.round(progress(F.col("completed"), F.col("total")).cast("decimal(38,9)"), 6).cast("double")
     return per.withColumn("progress", shown)
 
 

@@ -68,6 +68,10 @@ def test_null_counts_as_a_value(spark):
     assert got == {1: 2, 2: 1}
 
 
+def test_tie_after_division(spark):
+    assert one(spark, round_dp(ratio(F.lit(1584344.23), F.lit(14)), 2)) == 113167.45
+
+
 def test_division_by_zero_is_null(spark):
     assert one(spark, ratio(F.lit(1), F.lit(0))) is None
 
