@@ -11,7 +11,9 @@ from tarnwheel.sources.tables import Tables
 
 from .decontaminate import benchmark_hits
 from .licenses import license_summary, scan_licenses
+from .mixing import mix, with_sizes
 from .quality import quality_scores, with_statistics
+from .sharding import shard_documents
 from .textpass import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +32,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_mix")
+def op1(t: Tables) -> DataFrame:
+    sizes = stored(with_sizes(t.documents, "doc_id", "source", "text"), "sizes")
+    mixed = mix(t.documents, sizes=sizes)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op2_decontaminate")
 def op2(t: Tables) -> DataFrame:
     hits = benchmark_hits(t.documents, t.benchmark, ["doc_id"])
@@ -44,6 +53,11 @@ def op2(t: Tables) -> DataFrame:
     )
 
 
+@query("op4_shard")
+def op4(t: Tables) -> DataFrame:
+    return shard_documents(t.documents)
+
+
 @query("op7_licenses")
 def op7(t: Tables) -> DataFrame:
     return license_summary(scan_licenses(t.documents))
