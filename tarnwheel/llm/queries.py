@@ -14,6 +14,7 @@ from .licenses import license_summary, scan_licenses
 from .mixing import mix, with_sizes
 from .quality import quality_scores, with_statistics
 from .sharding import shard_documents
+from .simhash import with_components, with_fingerprints
 from .textpass import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +64,12 @@ def op7(t: Tables) -> DataFrame:
     return license_summary(scan_licenses(t.documents))
 
 
+@query("op9_simhash")
+def op9(t: Tables) -> DataFrame:
+    found = with_components(stored(with_fingerprints(t.documents), "fingerprints"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op10_quality")
 def op10(t: Tables) -> DataFrame:
     features = stored(with_statistics(t.documents), "features")
