@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnwheel.sources.tables import Tables
 
 from .decontaminate import benchmark_hits
+from .forest import nearest
 from .licenses import license_summary, scan_licenses
 from .mixing import mix, with_sizes
 from .quality import quality_scores, with_statistics
@@ -59,6 +60,11 @@ def op4(t: Tables) -> DataFrame:
     return shard_documents(t.documents)
 
 
+@query("op5_nearest")
+def op5(t: Tables) -> DataFrame:
+    return nearest(t.embeddings, F.col("vec_id") % 50 == 0)
+
+
 @query("op7_licenses")
 def op7(t: Tables) -> DataFrame:
     return license_summary(scan_licenses(t.documents))
