@@ -37,19 +37,21 @@ def map_texts(
     text: str | Column,
     make: Callable[[], Callable[..., tuple]],
     schema: T.StructType,
+    inputs: tuple[str, ...] = (),
 ) -> DataFrame:
     """``columns`` of every row, and what ``make()`` returns for its text.
 
     ``make`` is called once per task and gives a function of the text as bytes
-    (None for null).  Texts go through in Arrow batches and are handled one by
+    (None for null) and of the values of the columns ``inputs``.  Texts go through in Arrow batches and are handled one by
     one, so a task holds one batch; only the named columns are read.
     """
     names = list(columns)
     chosen = docs.select(
         *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()],
         (F.col(text) if isinstance(text, str) else text).cast("string").cast("binary").alias("__text"),
+        *[F.col(c).alias(f"__{i}") for i, c in enumerate(inputs)],
     )
-    kept = T.StructType([f for f in chosen.schema.fields if f.name != "__text"])
+    kept = T.StructType(chosen.schema.fields[: len(names)])
     out = T.StructType(kept.fields + schema.fields)
     types = [(f.name, to_arrow(f.dataType)) for f in schema.fields]
 
@@ -58,7 +60,8 @@ def map_texts(
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                rows = [each(t.as_py()) for t in part.column(len(names))]
+                values = [c.to_pylist() for c in part.columns[len(names) :]]
+                rows = [each(*row) for row in zip(*values, strict=True)]
                 made = [pa.array([r[i] for r in rows], type=t) for i, (_, t) in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(names)], *made], names=[*names, *(n for n, _ in types)]
