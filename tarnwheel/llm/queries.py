@@ -17,6 +17,7 @@ from .mixing import mix, with_sizes
 from .quality import quality_scores, with_statistics
 from .sharding import shard_documents
 from .simhash import with_components, with_fingerprints
+from .substrings import dedup_substrings
 from .textpass import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +104,11 @@ def op7(t: Tables) -> DataFrame:
     return license_summary(scan_licenses(t.documents))
 
 
+@query("op8_substrings")
+def op8(t: Tables) -> DataFrame:
+    return dedup_substrings(t.documents).drop("spans")
+
+
 @query("op9_simhash")
 def op9(t: Tables) -> DataFrame:
     found = with_components(stored(with_fingerprints(t.documents), "fingerprints"))
