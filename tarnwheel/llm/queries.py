@@ -14,6 +14,7 @@ from .forest import nearest
 from .licenses import license_summary, scan_licenses
 from .lines import dedup_lines
 from .mixing import mix, with_sizes
+from .passages import near_passages
 from .quality import quality_scores, with_statistics
 from .sharding import shard_documents
 from .simhash import with_components, with_fingerprints
@@ -57,6 +58,12 @@ def op2(t: Tables) -> DataFrame:
     )
 
 
+@query("op3_passages")
+def op3(t: Tables) -> DataFrame:
+    found = near_passages(t.documents)
+    return found.withColumn("n_spans", F.coalesce(F.size("spans"), F.lit(0)).cast("long")).drop("spans")
+
+
 @query("op4_shard")
 def op4(t: Tables) -> DataFrame:
     return shard_documents(t.documents)
