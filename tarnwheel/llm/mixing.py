@@ -16,11 +16,11 @@ RELEASED = 64
 BUCKETS = 256
 
 
-def with_sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """Id, source and number of space-separated words (``size``) of every row; null has none."""
+def with_sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str, *more: str) -> DataFrame:
+    """Id, source, columns ``more`` and number of space-separated words (``size``) of every row; null has none."""
     return map_texts(
         docs,
-        {"doc_id": id_col, "source": source_col},
+        {"doc_id": id_col, "source": source_col, **{c: c for c in more}},
         text_col,
         lambda: lambda text: (len(text.split()) if text else 0,),
         T.StructType([T.StructField("size", T.LongType())]),
@@ -125,7 +125,10 @@ def mix(
     seed: int = 17,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken`` of every row.
+    """``doc_id, source, size, source_size, target, copies, taken`` of every row.
+
+    ``sizes`` can be given instead of being counted: ``doc_id, source, size`` per
+    row, and columns to carry along.
 
     The mix has as many words as the documents; sources share it by weight and
     none is taken more than ``max_repeats`` times.  Whole passes come first; the
@@ -141,6 +144,7 @@ def mix(
     """
     if sizes is None:
         sizes = with_sizes(docs, id_col, source_col, text_col)
+    columns = sizes.columns
     sizes = sizes.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     lengths = sizes.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"))
     plan = lengths.join(targets(sizes, weights, max_repeats), "key").groupBy("key").applyInPandas(plan_source, PLAN)
@@ -160,5 +164,5 @@ def mix(
     return (
         drawn.join(quotas, ["key", "size", "bucket"])
         .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+        .select(*columns, "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textpass import map_texts
+from .textpass import free_name, map_texts
 
 FEATURES = (
     "log_words",
@@ -182,6 +182,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5) == 0
 
 
+def teach(
+    features: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", shrinkage: float = 0.05
+) -> Discriminant:
+    """A model of the labelled rows of ``features`` that are not held out; null labels and ids teach nothing."""
+    known = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(F.col(label_col).isNotNull())
+    return fit(features.where(~held_out(id_col)).join(known, id_col), shrinkage)
+
+
 def quality_scores(
     features: DataFrame,
     labels: DataFrame,
@@ -198,8 +206,7 @@ def quality_scores(
     labels and ids teach nothing.  Without two examples of each class the
     score is the smoothed share of label 1.  Empty input gives an empty result.
     """
-    teach = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(F.col(label_col).isNotNull())
-    model = fit(features.where(~held_out(id_col)).join(teach, id_col), shrinkage)
+    model = teach(features, labels, id_col=id_col, label_col=label_col, shrinkage=shrinkage)
     scored = score(features, model, [id_col])
     return scored.select(
         id_col,
@@ -207,3 +214,22 @@ def quality_scores(
         "score",
         (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"),
     )
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3
+) -> DataFrame:
+    """The documents with a score of at least ``threshold``, by a model learnt from those among them that have labels.
+
+    The statistics are made once for the model and once more where the texts
+    are filtered, so no text is shuffled.  Null texts are judged as empty ones.
+    """
+    model = teach(with_statistics(docs, id_col, text_col), labels, id_col=id_col)
+    name = free_name(docs, "score")
+
+    def judge(text: bytes | None) -> tuple[float]:
+        return (float(model.scores(np.array([statistics_of(text)]))[0]),)
+
+    columns = {c: c for c in docs.columns}
+    scored = map_texts(docs, columns, text_col, lambda: judge, T.StructType([T.StructField(name, T.DoubleType())]))
+    return scored.where(F.col(name) >= F.lit(threshold)).drop(name)

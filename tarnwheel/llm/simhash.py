@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tarnwheel.session import reliable
 
 from .components import components
-from .textpass import map_texts, space_words
+from .textpass import map_texts, space_words, stored, with_row
 
 SEED = 42
 #: The ring: four segments of 16 bits; at most three bits may differ.
@@ -198,6 +198,16 @@ def near_links(fps: DataFrame) -> DataFrame:
     return direct.unionByName(packed.groupBy("task").applyInPandas(meetings, "u long, v long"))
 
 
+def class_components(fingerprints: DataFrame) -> DataFrame:
+    """``fp, component_id`` of every fingerprint that occurs in ``doc_id, fp``."""
+    classes = reliable(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(near_links(classes.select("fp")))
+    rooted = classes.join(found.select(F.col("u").alias("fp"), F.col("v").alias("top")), "fp", "left")
+    rooted = rooted.withColumn("top", F.coalesce("top", "fp"))
+    least = rooted.groupBy("top").agg(F.min("least").alias("component_id"))
+    return rooted.join(least, "top").select("fp", "component_id", "top")
+
+
 def with_components(fingerprints: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``doc_id, fp``.
 
@@ -206,10 +216,24 @@ def with_components(fingerprints: DataFrame) -> DataFrame:
     reached.  A null id never is that smallest one (a component of null ids only
     has a null).  Equal rows all stay.  An empty table gives an empty result.
     """
-    classes = reliable(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(near_links(classes.select("fp")))
-    rooted = classes.join(found.select(F.col("u").alias("fp"), F.col("v").alias("top")), "fp", "left")
-    rooted = rooted.withColumn("top", F.coalesce("top", "fp"))
-    least = rooted.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "top").select("fp", "component_id")
-    return fingerprints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fingerprints.join(class_components(fingerprints), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near-duplicates: of each component the row with the smallest id stays (null last).
+
+    Empty and null texts have one fingerprint and are near-duplicates of each
+    other.  Of rows with equal ids one stays.
+    """
+    rows, row = with_row(docs, "rows")
+    fingerprints = map_texts(
+        rows,
+        {"doc_id": id_col, "row": row},
+        text_col,
+        lambda: fingerprint_or_zero,
+        T.StructType([T.StructField("fp", T.LongType())]),
+    )
+    fingerprints = stored(fingerprints, "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    chosen = fingerprints.join(class_components(fingerprints), "fp").groupBy("top").agg(F.min(place).alias("first"))
+    return rows.join(chosen.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)

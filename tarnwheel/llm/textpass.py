@@ -90,3 +90,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if the frame has such a column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def with_row(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """The documents with a number for every row, written once so that it stays, and the name of that column."""
+    row = free_name(docs, "row_number")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), purpose), row
