@@ -60,13 +60,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> Dat
     return sources.select("key", "source_size", target.alias("target"))
 
 
-def fit_budget(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size (ascending, positive) to take so that the words come closest below ``budget``.
-
-    Every size first gives its share of the budget, rounded down, and what is
-    left goes on to the shorter ones.  The rest and one document of each of the
-    shortest sizes are then a bounded knapsack: bit i of ``reach`` tells whether
-    i words can be made; multiplicities are cut into powers of two.
+def fit_budget(sizes: list[int], counts: list[int], budget: int, times: int = 1) -> list[int]:
+    """How many documents of each size (ascending, positive) to take so that their words come closest to ``budget``.
+
+    A document may be taken ``times`` times.  Every size first gives its share
+    of the budget, rounded down, and what is left goes on to the shorter ones.
+    The rest and one document of each of the shortest sizes are then a bounded
+    knapsack: bit i of ``reach`` tells whether i words can be made, and
+    multiplicities are cut into powers of two.
     """
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     taken = [0] * len(sizes)
@@ -79,18 +80,22 @@ def fit_budget(sizes: list[int], counts: list[int], budget: int) -> list[int]:
         taken[j] -= 1
         used -= sizes[j]
     rest = budget - used
-    mask, reach, layers = (1 << (rest + 1)) - 1, 1, []
+    # A surplus above the rest would be worse than taking nothing.
+    mask, reach, layers = (1 << (2 * rest + 1)) - 1, 1, []
     for j, size in enumerate(sizes):
-        left, piece = min(counts[j] - taken[j], rest // size), 1
+        left, piece = min(counts[j] * times - taken[j], 2 * rest // size), 1
         while left > 0 and not reach >> rest & 1:
             piece = min(piece, left)
             layers.append((j, piece, reach))
             reach |= (reach << (piece * size)) & mask
             left -= piece
             piece *= 2
-        if size > rest or reach >> rest & 1:
+        if size > 2 * rest or reach >> rest & 1:
             break
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach >> rest
+    at = rest + (above & -above).bit_length() - 1 if above else below
+    at = below if rest - below <= at - rest else at
     for j, piece, before in reversed(layers):
         if not before >> at & 1:
             taken[j] += piece
@@ -101,17 +106,22 @@ def fit_budget(sizes: list[int], counts: list[int], budget: int) -> list[int]:
 PLAN = "key string, size long, source_size long, target double, passes long, chosen long"
 
 
-def plan_source(rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole passes over a source, and per size the documents that are taken once more."""
-    rows = rows.sort_values("size")
-    source_size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
-    passes = int(target // source_size) if source_size else 0
-    budget = min(round(target - passes * source_size), source_size) if source_size else 0
-    filled = rows[rows["size"] > 0]
-    chosen = fit_budget(filled["size"].tolist(), filled["n"].tolist(), budget) if len(filled) else []
-    out = rows[["key", "size", "source_size", "target"]].assign(passes=passes, chosen=0)
-    out.loc[rows["size"] > 0, "chosen"] = chosen
-    return out
+def plan_source(max_repeats: int):
+    """Whole passes over the documents of each size, and how many of them are taken once more."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("size")
+        source_size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
+        passes = min(int(target // source_size), max_repeats) if source_size else 0
+        budget = min(round(target - passes * source_size), source_size) if passes < max_repeats else 0
+        filled = rows[rows["size"] > 0]
+        sizes, counts = filled["size"].tolist(), filled["n"].tolist()
+        taken = fit_budget(sizes, counts, budget, max_repeats - passes) if sizes else []
+        taken = pd.Series([0] * (len(rows) - len(filled)) + taken, index=rows.index, dtype="int64")
+        out = rows[["key", "size", "source_size", "target"]]
+        return out.assign(passes=passes + taken // rows["n"], chosen=taken % rows["n"])
+
+    return run
 
 
 def mix(
@@ -131,9 +141,9 @@ def mix(
     row, and columns to carry along.
 
     The mix has as many words as the documents; sources share it by weight and
-    none is taken more than ``max_repeats`` times.  Whole passes come first; the
-    remaining budget is a knapsack over the source's table of lengths, and the
-    documents of a length are drawn in the order of a seeded hash.  A source's
+    no document is taken more than ``max_repeats`` times.  Whole passes come
+    first; the remaining budget is a knapsack over the source's table of lengths,
+    and the documents of a length are drawn in the order of a seeded hash.  A source's
     plan holds one row per length, whatever its number of documents; draws are
     by bucket, so a length that many documents share is not one task.
 
@@ -147,7 +157,7 @@ def mix(
     columns = sizes.columns
     sizes = sizes.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     lengths = sizes.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"))
-    plan = lengths.join(targets(sizes, weights, max_repeats), "key").groupBy("key").applyInPandas(plan_source, PLAN)
+    plan = lengths.join(targets(sizes, weights, max_repeats), "key").groupBy("key").applyInPandas(plan_source(max_repeats), PLAN)
 
     draw = F.xxhash64("doc_id", F.lit(seed))
     drawn = sizes.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
