@@ -16,11 +16,11 @@ PRIORITIES = 512
 def accept(moves: DataFrame, room: dict[int, int]) -> DataFrame:
     """Add ``accepted``: how many of the ``n`` documents of each move to ``to`` fit into its room.
 
-    Moves go by a hash of the group.  The driver gets sums per shard and
+    Moves go by a hash of the group and the shard they leave.  The driver gets sums per shard and
     priority; the priority at which a shard gets full is shared out in
     proportion, rounded down, so the room is never exceeded.
     """
-    ranked = moves.withColumn("priority", F.pmod(F.xxhash64("grp"), F.lit(PRIORITIES)).cast("int"))
+    ranked = moves.withColumn("priority", F.pmod(F.xxhash64("grp", "shard"), F.lit(PRIORITIES)).cast("int"))
     sums = ranked.groupBy("to", "priority").agg(F.sum("n").alias("n")).collect()
     # Per shard: the first priority that does not fit as a whole, the room it still has, and its sum.
     edge: dict[int, tuple[int, int, int]] = {}
