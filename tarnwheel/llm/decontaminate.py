@@ -168,7 +168,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def benchmark_hits(
     docs: DataFrame,
     items: DataFrame,
-    keep: list[str],
+    keep: dict[str, str],
     *,
     text_col: str = "text",
     item_id: str = "item_id",
@@ -178,7 +178,7 @@ def benchmark_hits(
     each: Callable[[bytes | None, list[tuple[int, int]], int], tuple] | None = None,
     more: tuple[T.StructField, ...] = (),
 ) -> DataFrame:
-    """``keep``, ``n_words``, covered word ``spans`` and ``items`` of every row of ``docs``.
+    """``keep`` (new names of columns), ``n_words``, covered word ``spans`` and ``items`` of every row of ``docs``.
 
     The automata of the items go to the tasks with the function; each holds at
     most ``words_per_automaton`` words, and a large benchmark has several, which
@@ -204,7 +204,7 @@ def benchmark_hits(
 
         return one
 
-    return map_texts(docs, {c: c for c in keep}, text_col, make, T.StructType(FOUND.fields + list(more)))
+    return map_texts(docs, keep, text_col, make, T.StructType(FOUND.fields + list(more)))
 
 
 def without_spans(text: bytes | None, spans: list[tuple[int, int]], n_words: int) -> tuple[str | None, float]:
@@ -235,11 +235,11 @@ def decontaminate(
     a document of which more than ``max_coverage`` is covered goes as a whole.
     ``chars_col``, if there, follows the new text.  Null and empty texts stay.
     """
-    others = [c for c in docs.columns if c != text_col]
+    others = {c: f"__column_{i}" for i, c in enumerate(docs.columns) if c != text_col}
     made = benchmark_hits(
         docs,
         items,
-        others,
+        {name: c for c, name in others.items()},
         text_col=text_col,
         window=window,
         each=without_spans,
@@ -252,7 +252,7 @@ def decontaminate(
             columns.append(F.col("__clean").alias(text_col))
         elif field.name == chars_col:
             length = F.length("__clean").cast(field.dataType)
-            columns.append(F.when(hit, length).otherwise(F.col(chars_col)).alias(chars_col))
+            columns.append(F.when(hit, length).otherwise(F.col(others[chars_col])).alias(chars_col))
         else:
-            columns.append(F.col(field.name))
+            columns.append(F.col(others[field.name]).alias(field.name))
     return made.where(F.col("__share") <= F.lit(max_coverage)).select(*columns)

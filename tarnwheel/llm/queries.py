@@ -46,7 +46,7 @@ def op1(t: Tables) -> DataFrame:
 
 @query("op2_decontaminate")
 def op2(t: Tables) -> DataFrame:
-    hits = benchmark_hits(t.documents, t.benchmark, ["doc_id"])
+    hits = benchmark_hits(t.documents, t.benchmark, {"doc_id": "doc_id"})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return hits.select(
         "doc_id",

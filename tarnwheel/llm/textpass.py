@@ -46,10 +46,11 @@ def map_texts(
     one, so a task holds one batch; only the named columns are read.
     """
     names = list(columns)
+    given = [f"__input_{i}_{len(''.join(names))}" for i in range(len(inputs) + 1)]  # like no column's name
     chosen = docs.select(
         *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()],
-        (F.col(text) if isinstance(text, str) else text).cast("string").cast("binary").alias("__text"),
-        *[F.col(c).alias(f"__{i}") for i, c in enumerate(inputs)],
+        (F.col(text) if isinstance(text, str) else text).cast("string").cast("binary").alias(given[0]),
+        *[F.col(c).alias(n) for c, n in zip(inputs, given[1:], strict=True)],
     )
     kept = T.StructType(chosen.schema.fields[: len(names)])
     out = T.StructType(kept.fields + schema.fields)
