@@ -14,7 +14,7 @@ from tarnwheel.llm.mixing import mix, with_sizes
 from tarnwheel.llm.quality import accepted
 from tarnwheel.llm.sharding import shard_documents
 from tarnwheel.llm.simhash import one_of_each
-from tarnwheel.llm.textpass import stored, with_row
+from tarnwheel.llm.textpass import free_name, stored, with_row
 from tarnwheel.sources.tables import read_table
 
 
@@ -37,9 +37,10 @@ def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix takes it: not at all, once, or up to three times."""
     rows, row = with_row(docs, "mix")
     sizes = stored(with_sizes(rows, "doc_id", "source", "text", row), "sizes")
-    copies = mix(rows, sizes=sizes).where("copies > 0").select(row, "copies")
-    taken = rows.join(copies, row).withColumn(row, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return taken.select(docs.columns)
+    times = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
+    copies = mix(rows, sizes=sizes).where("copies > 0").select(row, times.alias(free_name(rows, "times")))
+    taken = rows.join(copies, row)
+    return taken.select(*docs.columns, F.explode(copies.columns[-1])).select(docs.columns)
 
 
 def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
