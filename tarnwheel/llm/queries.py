@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwheel.sources.tables import Tables
 
+from . import twins
 from .decontaminate import benchmark_hits
 from .forest import nearest
 from .licenses import license_summary, scan_licenses
@@ -44,7 +45,7 @@ def op1(t: Tables) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op2_decontaminate")
+@query("op2_decontaminate", twins.DECONTAMINATE)
 def op2(t: Tables) -> DataFrame:
     hits = benchmark_hits(t.documents, t.benchmark, {"doc_id": "doc_id"})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -74,34 +75,7 @@ def op5(t: Tables) -> DataFrame:
     return nearest(t.embeddings, F.col("vec_id") % 50 == 0)
 
 
-SQL_LINES = """
-    WITH lines AS (
-        SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS content, len(parts) AS n
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
-    ),
-    pairs AS (
-        SELECT *, lead(content) OVER (PARTITION BY doc_id ORDER BY line) AS next_content FROM lines
-    ),
-    ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY content, next_content ORDER BY doc_id, line) AS place FROM pairs
-    ),
-    starts AS (SELECT doc_id, line, line + 1 < n AND place > 1 AS later FROM ranked),
-    marked AS (
-        SELECT l.doc_id, l.line, l.content,
-            s.later OR coalesce(lag(s.later) OVER (PARTITION BY l.doc_id ORDER BY l.line), false) AS gone
-        FROM lines l JOIN starts s ON l.doc_id = s.doc_id AND l.line = s.line
-    ),
-    edges AS (
-        SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY line), false) AS opens FROM marked
-    )
-    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-        count(*) FILTER (WHERE opens) AS n_runs,
-        sha256(coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '')) AS kept_sha256
-    FROM edges GROUP BY doc_id
-"""
-
-
-@query("op6_lines", SQL_LINES)
+@query("op6_lines", twins.LINES)
 def op6(t: Tables) -> DataFrame:
     return dedup_lines(t.documents).select("doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256")
 
@@ -111,7 +85,7 @@ def op7(t: Tables) -> DataFrame:
     return license_summary(scan_licenses(t.documents))
 
 
-@query("op8_substrings")
+@query("op8_substrings", twins.SUBSTRINGS)
 def op8(t: Tables) -> DataFrame:
     return dedup_substrings(t.documents).drop("spans")
 
