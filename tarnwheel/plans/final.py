@@ -69,9 +69,9 @@ def opt03(t):
     return t.customer.where(F.col("c_acctbal") < 0).select("c_name", "c_acctbal")
 
 
-@query("opt04_parts_under_minimum", "SELECT p_name, p_retailprice FROM part WHERE p_retailprice < 900")
+@query("opt04_parts_under_minimum", "SELECT p_name, p_retailprice FROM part WHERE p_retailprice < 905")
 def opt04(t):
-    return t.part.where(F.col("p_retailprice") < 900).select("p_name", "p_retailprice")
+    return t.part.where(F.col("p_retailprice") < 905).select("p_name", "p_retailprice")
 
 
 @query(
@@ -348,7 +348,7 @@ def opt23(t):
     placed = with_orders(revenue_per_order(t), orders)
     return (
         placed.groupBy(iso_month("o_orderdate").alias("month"))
-        .agg(n_unique("l_orderkey").alias("n_orders"), sum_dp("rev").alias("total_rev"))
+        .agg(rows().alias("n_orders"), sum_dp("rev").alias("total_rev"))
         .orderBy("month")
     )
 

@@ -96,12 +96,11 @@ def joi07(t):
 
 
 @query(
-    "joi08_parts_never_sold_by_fifty",
-    "SELECT * FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)",
+    "joi08_customers_without_events",
+    "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)",
 )
 def joi08(t):
-    full = t.lineitem.where(F.col("l_quantity") == 50)
-    return join_suffix(t.part, full, left_on="p_partkey", right_on="l_partkey", how="anti")
+    return join_suffix(t.customer, t.events, left_on="c_custkey", right_on="user_id", how="anti")
 
 
 @query(
