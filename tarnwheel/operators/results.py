@@ -37,10 +37,19 @@ def latest_attempt(df: DataFrame, key: str, attempt: str = "attempt") -> DataFra
     return held.where(F.col(attempt) == F.col("__latest")).drop("__latest")
 
 
-def last_status(kind: Column, message: Column) -> tuple[Column, Column]:
-    """Status and error text that an event leaves a submission in."""
+def status_aggregates(kind: Column, order: Column, message: Column) -> tuple[Column, Column]:
+    """Aggregates for the status of a submission and its error text.
+
+    Only ``done`` and ``error`` records decide, the later of them; any other
+    record leaves the submission as it is, before, between and after them.
+    """
+    done = F.max(F.when(kind == "done", order))
+    failed = F.max(F.when(kind == "error", order))
     status = (
-        F.when(kind == "done", F.lit("done")).when(kind == "error", F.lit("failed")).otherwise(F.lit("running"))
+        F.when(done.isNull() & failed.isNull(), F.lit("running"))
+        .when(failed.isNull() | (done > failed), F.lit("done"))
+        .otherwise(F.lit("failed"))
     )
-    text = F.when(kind == "error", F.substring(F.coalesce(message, F.lit("Backend error")), 1, 2000))
-    return status, text
+    text = F.substring(F.coalesce(message, F.lit("Backend error")), 1, 2000)
+    last = F.max_by(text, F.when(kind == "error", order))
+    return status, F.when(status == "failed", last)

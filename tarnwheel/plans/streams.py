@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwheel.functions import round_dp
+from tarnwheel.operators.results import first_wins
 from tarnwheel.operators.scoring import summarise
 from tarnwheel.session import scratch_path
 from tarnwheel.sources.records import ANSWER, format_record, parse_records, read_records, write_records
@@ -65,10 +66,14 @@ SQL_EVENTS = """answers AS (SELECT user_id AS submission_id, event_id AS seq, ev
       CAST(sum(CAST(generation_seconds AS DECIMAL(20,6))) AS DOUBLE) / count(*) AS avg_generation_seconds,
       CAST(sum(CAST(execution_seconds AS DECIMAL(20,6))) AS DOUBLE) / count(*) AS avg_execution_seconds,
       max(peak_ram_mb) AS peak_ram_mb, max(peak_gpu_mb) AS peak_gpu_mb FROM answers GROUP BY submission_id),
-    state AS (SELECT user_id AS submission_id,
-      CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,
-      CASE WHEN event_type = 'error' THEN substr(props, 1, 2000) END AS error_message FROM events
-      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)"""
+    ends AS (SELECT user_id AS submission_id, max(event_id) FILTER (WHERE event_type = 'purchase') AS done,
+      max(event_id) FILTER (WHERE event_type NOT IN ('click', 'view', 'signup', 'purchase')) AS failed,
+      arg_max(substr(coalesce(props, 'Backend error'), 1, 2000), event_id)
+        FILTER (WHERE event_type NOT IN ('click', 'view', 'signup', 'purchase')) AS message
+      FROM events GROUP BY user_id),
+    state AS (SELECT submission_id, CASE WHEN done IS NULL AND failed IS NULL THEN 'running'
+        WHEN failed IS NULL OR done > failed THEN 'done' ELSE 'failed' END AS status,
+      CASE WHEN failed IS NOT NULL AND NOT coalesce(done > failed, false) THEN message END AS error_message FROM ends)"""
 
 
 def _written(t) -> str:
@@ -154,7 +159,7 @@ def x03(t):
 )
 def x07(t):
     parsed = parse_records(event_records(t), ANSWER)
-    answers = answers_of(parsed).dropDuplicates(["submission_id", "question_id"])
+    answers = first_wins(answers_of(parsed), ["submission_id", "question_id"], ["seq"])
     rows = final_rows(summarise(answers, "submission_id"), statuses(parsed))
     return rows.select(
         "submission_id",

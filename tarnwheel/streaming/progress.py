@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwheel.operators.aggregates import arg_first
-from tarnwheel.operators.results import last_status
+from tarnwheel.operators.results import status_aggregates
 from tarnwheel.operators.scoring import is_correct, with_scores
 from tarnwheel.operators.windows import group_totals, running_sum
 from tarnwheel.sources.records import format_record
 
 
 def statuses(parsed: DataFrame) -> DataFrame:
-    """Last status per submission, with the error text of a failed one."""
-    status, error = last_status(F.col("event"), F.col("data.message"))
-    known = parsed.where(F.col("data.submission_id").isNotNull()).select(
-        F.col("data.submission_id").alias("submission_id"),
-        F.col("data.seq").alias("seq"),
-        status.alias("status"),
-        error.alias("error_message"),
+    """Status per submission, with the error text of a failed one."""
+    status, error = status_aggregates(F.col("event"), F.col("data.seq"), F.col("data.message"))
+    known = parsed.where(F.col("data.submission_id").isNotNull())
+    return known.groupBy(F.col("data.submission_id").alias("submission_id")).agg(
+        status.alias("status"), error.alias("error_message")
     )
-    last = arg_first(["status", "error_message"], [F.col("seq")], largest=True).alias("last")
-    return known.groupBy("submission_id").agg(last).select("submission_id", "last.*")
 
 
 def final_rows(summary: DataFrame, state: DataFrame) -> DataFrame:

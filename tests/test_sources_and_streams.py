@@ -182,3 +182,27 @@ def test_progress_records(spark):
     assert got == [(1, 1, 3, 1), (1, 2, 3, 1), (1, 3, 3, 2), (2, 1, 1, 0)]
     first = progress_records(answers).where("submission_id = 2").first()["record"]
     assert first == 'event: progress\ndata: {"step":"question_done","index":1,"total":1,"correct_so_far":0}'
+
+
+def test_only_done_and_error_decide_a_status(spark):
+    from tarnwheel.streaming.progress import statuses
+
+    kinds = {
+        1: ["question_result", "done", "status", "question_result"],
+        2: ["done", "error", "status"],
+        3: ["error", "done", "question_result"],
+        4: ["status", "question_result"],
+        5: ["error"],
+    }
+    rows = [(k, (i, n, "boom" if k == "error" else None)) for i, ks in kinds.items() for n, k in enumerate(ks)]
+    parsed = spark.createDataFrame(
+        rows, "event string, data struct<submission_id: long, seq: long, message: string>"
+    )
+    got = {r["submission_id"]: (r["status"], r["error_message"]) for r in statuses(parsed).collect()}
+    assert got == {
+        1: ("done", None),
+        2: ("failed", "boom"),
+        3: ("done", None),
+        4: ("running", None),
+        5: ("failed", "boom"),
+    }
