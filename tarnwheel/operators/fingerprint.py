@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 from tarnwheel.functions import digest16, last_json_line
 
-EXACT_ROWS = 100_000
-
 PAYLOAD = T.StructType(
     [
         T.StructField("columns", T.ArrayType(T.StringType())),
@@ -49,13 +47,15 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
 
 
+def row_number_of(text: Column) -> Column:
+    """The first 60 bits of the SHA-256 of a text, a form that other engines have too."""
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
 def _digest(columns: Sequence[str], rows: Column, text: Column) -> Column:
-    """Order-free hash of texts: the sum and the exclusive or of two row hashes."""
-    first = F.sum(F.xxhash64(text).cast("decimal(20,0)")).cast("string")
-    second = F.bit_xor(F.xxhash64(F.lit("row"), text)).cast("string")
-    return digest16(
-        F.concat_ws("|", F.lit(",".join(columns)), rows.cast("string"), F.coalesce(first, F.lit("")), F.coalesce(second, F.lit("")))
-    )
+    """Order-free hash of texts: their number and the sum of their row hashes."""
+    total = F.coalesce(F.sum(row_number_of(text)).cast("string"), F.lit(""))
+    return digest16(F.concat_ws("|", F.lit(",".join(columns)), rows.cast("string"), total))
 
 
 def fingerprint(result: DataFrame) -> DataFrame:
@@ -101,22 +101,6 @@ def csv_lines(result: DataFrame) -> DataFrame:
     return require_table(result).select(F.to_csv(F.struct(*[_cell(f) for f in result.schema])).alias("line"))
 
 
-def exact_digest(result: DataFrame, max_rows: int = EXACT_ROWS) -> str:
-    """Hash of the CSV text of the sorted rows under a header line.
-
-    The text is one value, so this form is for results of a checked size only.
-    Larger ones are compared by ``fingerprint``.
-    """
-    df = require_table(result)
-    found = df.limit(max_rows + 1).count()
-    if found > max_rows:
-        raise ValueError(f"more than {max_rows} rows: use fingerprint() instead")
-    ordered = df.orderBy(*[F.col(f"`{c}`") for c in df.columns])
-    lines = [",".join(df.columns), *[row["line"] for row in csv_lines(ordered).collect()]]
-    text = "\n".join(lines) + "\n"
-    return df.sparkSession.range(1).select(digest16(F.lit(text)).alias("hash")).first()["hash"]
-
-
 def parse_payloads(runs: DataFrame) -> DataFrame:
     """Read ``{columns, shape, hash}`` from the last line a run has printed."""
     payload = last_json_line("stdout", PAYLOAD)
@@ -182,7 +166,10 @@ def outcome(success: Column, exact_match: Column) -> Column:
 
 
 def row_differences(candidate: DataFrame, gold: DataFrame) -> DataFrame:
-    """Rows that only one side has, duplicates counted."""
-    missing = gold.exceptAll(candidate).withColumn("side", F.lit("missing"))
-    extra = candidate.exceptAll(gold).withColumn("side", F.lit("extra"))
-    return missing.unionByName(extra)
+    """Rows that only one side has, duplicates counted: one sum over the rows of both sides."""
+    columns = gold.columns
+    signed = gold.withColumn("__n", F.lit(1)).union(candidate.select(*columns).withColumn("__n", F.lit(-1)))
+    surplus = signed.groupBy(*columns).agg(F.sum("__n").alias("__n")).where(F.col("__n") != 0)
+    side = F.when(F.col("__n") > 0, F.lit("missing")).otherwise(F.lit("extra"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.abs("__n").cast("int")))
+    return surplus.select(*columns, side.alias("side"), copies.alias("__copy")).drop("__copy")

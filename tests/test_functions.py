@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +21,6 @@ from tarnwheel.functions import (
 )
 from tarnwheel.operators.fingerprint import (
     compare_runs,
-    exact_digest,
     fingerprint,
     fingerprint_all,
     outcome,
@@ -136,14 +134,6 @@ def test_fingerprint_of_empty_result(spark):
     assert (got["shape"]["rows"], got["shape"]["cols"], got["columns"]) == (0, 3, ["id", "x", "s"])
 
 
-def test_exact_digest(spark):
-    df = spark.createDataFrame([(2, "b"), (1, "a")], "k long, v string")
-    want = hashlib.sha256(b"k,v\n1,a\n2,b\n").hexdigest()[:16]
-    assert exact_digest(df) == want
-    with pytest.raises(ValueError):
-        exact_digest(df, max_rows=1)
-
-
 def test_only_tables_are_results():
     with pytest.raises(TypeError):
         require_table([1, 2])
