@@ -43,12 +43,16 @@ def revenue(
     discount: ColumnOrName | None = "l_discount",
     quantity: ColumnOrName | None = None,
 ) -> Column:
-    """price [* quantity] [* (1 - discount)] in units; prices and discounts have two places."""
+    """price [* quantity] [* (1 - discount)] in units; all three have two places.
+
+    Units have four places: only with a broken quantity is a product rounded.
+    """
     cents = F.rint(_col(price) * 100).cast("long")
     if quantity is not None:
-        cents = cents * _col(quantity).cast("long")
+        cents = cents * F.rint(_col(quantity) * 100).cast("long")
     kept = F.lit(100) if discount is None else 100 - F.rint(_col(discount) * 100).cast("long")
-    return (cents * kept).cast("decimal(18,0)")
+    units = (cents * kept).cast("decimal(18,0)")
+    return units if quantity is None else F.round(units / F.lit(Decimal(100)), 0).cast("decimal(18,0)")
 
 
 def sum_or_zero(c: ColumnOrName) -> Column:

@@ -113,24 +113,16 @@ def group_totals(
 ) -> DataFrame:
     """Add aggregates of the whole key to each of its rows.
 
-    The rows of hot keys are not shuffled at all: their aggregates, one row per
-    hot key, are combined map-side and broadcast.
+    The aggregates are combined map-side, one row per key, and joined back
+    null-safely; a key with very many rows is a skewed join, which AQE splits.
+    ``sizes`` is not needed any more and is accepted for older callers.
     """
     keys = list(keys)
-    window = Window.partitionBy(*keys)
-    hot = hot_keys(df, keys, sizes)
-    if hot is None:
-        return df.withColumns({name: agg.over(window) for name, agg in aggregates.items()})
-    named = hot.select([F.col(k).alias(f"__h_{k}") for k in keys])
-    on_hot = same_keys(keys, [f"__h_{k}" for k in keys])
-    cold = df.join(F.broadcast(named), on_hot, "left_anti").withColumns(
-        {name: agg.over(window) for name, agg in aggregates.items()}
-    )
-    hot_rows = df.join(F.broadcast(named), on_hot, "left_semi")
-    totals = hot_rows.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
-    totals = totals.select(*[F.col(k).alias(f"__h_{k}") for k in keys], *aggregates)
-    warm = df.join(F.broadcast(totals), on_hot, "inner").select(*df.columns, *aggregates)
-    return cold.unionByName(warm)
+    totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
+    if not keys:
+        return df.join(F.broadcast(totals))  # one row
+    named = totals.select(*[F.col(k).alias(f"__t_{k}") for k in keys], *aggregates)
+    return df.join(named, same_keys(keys, [f"__t_{k}" for k in keys])).select(*df.columns, *aggregates)
 
 
 def _with_neighbours(
@@ -191,9 +183,10 @@ def rolling_mean(
 
 
 def growth_pct(df: DataFrame, value: str, order: str, name: str, places: int = 1) -> DataFrame:
-    """Growth in percent over the previous row of a small, already aggregated series."""
-    before = F.lag(value, 1).over(Window.orderBy(order))
-    return df.withColumn(name, round_dp(ratio(F.col(value) - before, before) * 100, places))
+    """Growth in percent over the previous row of a series."""
+    held = previous_value(df, value, [], [order], "__before")
+    growth = ratio(F.col(value) - F.col("__before"), F.col("__before")) * 100
+    return held.withColumn(name, round_dp(growth, places)).drop("__before")
 
 
 __all__ = [
