@@ -6,6 +6,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from pyspark.sql import types as T
 from tarnwheel.session import reliable
 
 from .components import components
-from .textpass import map_texts, space_words, stored, with_row
+from .passages import shingles_of
+from .substrings import MIX, chunks, mixed
+from .textpass import alnum_words, map_texts, space_words, stored, with_row
 
 SEED = 42
 #: The ring: four segments of 16 bits; at most three bits may differ.
@@ -79,8 +82,8 @@ def chain_holds(a: Column, b: Column, start: Column) -> Column:
     return out
 
 
-def keys_of(fp: Column) -> Column:
-    """Eight keys: a segment, and one half of the next segment.
+def keys_of(fp: Column, family: Column) -> Column:
+    """Eight keys: a segment, and one half of the next segment; fingerprints of different families share none.
 
     A chain of two segments has no difference in the first and one at most in
     the second, so one half of the second is equal as well.
@@ -89,7 +92,7 @@ def keys_of(fp: Column) -> Column:
     for i in range(SEGMENTS):
         for half in range(2):
             part = F.shiftrightunsigned(segment(fp, i + 1), 8 * half).bitwiseAND(F.lit(0xFF))
-            tag = F.lit((2 * i + half) << 24).cast("long")
+            tag = F.shiftleft(family.cast("long") * 8 + (2 * i + half), 24)
             keys.append(tag.bitwiseOR(F.shiftleft(segment(fp, i), 8)).bitwiseOR(part))
     return F.array(*keys)
 
@@ -175,9 +178,11 @@ def near_links(fps: DataFrame) -> DataFrame:
     Fingerprints that share a key are candidates, pass the chain test and then
     the full distance.  Keys of more than ``PAIRED`` fingerprints are not
     paired: all their fingerprints meet at points between them instead, work
-    that grows with their number and not with its square.
+    that grows with their number and not with its square.  With a column
+    ``family``, only fingerprints of one family are candidates.
     """
-    keyed = fps.select("fp", F.posexplode(keys_of(F.col("fp"))).alias("place", "key"))
+    family = F.col("family") if "family" in fps.columns else F.lit(0)
+    keyed = fps.select("fp", F.posexplode(keys_of(F.col("fp"), family)).alias("place", "key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = reliable(keyed.join(counts, "key").select("fp", "key", (F.col("place") / 2).cast("int").alias("start"), "n"))
     few = shared.where(F.col("n") <= PAIRED)
@@ -219,21 +224,114 @@ def with_components(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.join(class_components(fingerprints), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Independent fingerprints of the set of words, and shingles in a sketch, for ``one_of_each``.
+FAMILIES, SKETCH = 10, 384
+CHUNK = 2 << 20
+
+
+def word_fingerprints(words: set[bytes]) -> list[int]:
+    """One fingerprint of a set of words per family; the families are different mixes of one hash of each word."""
+    if not words:
+        return [0] * FAMILIES
+    base = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64)
+    salts = np.arange(1, FAMILIES + 1, dtype=np.uint64) * MIX
+    mixes = mixed([(base[:, None] ^ salts[None, :]).ravel()]).reshape(len(base), FAMILIES)
+    bits = np.unpackbits(mixes.view(np.uint8), axis=1, bitorder="little")
+    ones = np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(words), bitorder="little").view("<i8").tolist()
+
+
+def describe(batches):
+    """``row, doc_id, id, fps, sketch``: word fingerprints, and the least hashes of the set of five-word shingles."""
+    for rows in chunks(batches, CHUNK):
+        texts = [r["text"] for r in rows]
+        hashes, text, _ = shingles_of(texts)
+        begin = np.searchsorted(text, np.arange(len(rows) + 1))
+        fps, sketches = [], []
+        for i, t in enumerate(texts):
+            words = alnum_words(t)
+            fps.append(word_fingerprints(set(words)))
+            own = hashes[begin[i] : begin[i + 1]]
+            if len(words) < 5:  # the text itself is its shingle
+                own = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
+            sketches.append(np.unique((own[own > 0] >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r["row"] for r in rows], type=pa.int64()),
+                pa.array([r["doc_id"] for r in rows], type=pa.int64()),
+                pa.array([r["id"] for r in rows], type=pa.int64()),
+                pa.array(fps, type=pa.list_(pa.int64())),
+                pa.array(sketches, type=pa.binary()),
+            ],
+            names=["row", "doc_id", "id", "fps", "sketch"],
+        )
+
+
+def similar(least: float):
+    """Keeps the pairs whose sketches show a Jaccard similarity of at least ``least``.
+
+    The least hashes of the union of both sets are a sample of it; with fewer
+    than ``SKETCH`` shingles it is the union.
+    """
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for i, row in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = (np.frombuffer(b, dtype=np.uint32) for b in row)
+                union = np.union1d(x, y)[:SKETCH]
+                both = np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)
+                if both.sum() >= least * len(union):
+                    kept.append(i)
+            yield batch.select([0, 1]).take(pa.array(kept, type=pa.int64()))
+
+    return run
+
+
+def one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8
+) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest id stays (null last).
 
-    Empty and null texts have one fingerprint and are near-duplicates of each
-    other.  Of rows with equal ids one stays.
+    Near-duplicates have a Jaccard similarity of at least 0.8 on their sets of
+    five-word shingles.  At that similarity some 3 in 100 words differ, which is
+    too much for one fingerprint at a distance of 3 bits; so candidates are
+    texts of which, in one of ``FAMILIES`` independent families, fingerprints of
+    the set of words are that near.  Each pair of candidates is compared by
+    sketches of its shingles, exactly up to ``SKETCH`` of them.
+
+    Equal texts are near-duplicates, as are empty and null ones.  Of rows with
+    equal ids and texts one stays.  Ids are whole numbers.
     """
     rows, row = with_row(docs, "rows")
-    fingerprints = map_texts(
-        rows,
-        {"doc_id": id_col, "row": row},
-        text_col,
-        lambda: fingerprint_or_zero,
-        T.StructType([T.StructField("fp", T.LongType())]),
-    )
-    fingerprints = stored(fingerprints, "fingerprints")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    made = rows.select(
+        F.col(row).alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("id"),
+        text.cast("binary").alias("text"),
+    ).mapInArrow(describe, "row long, doc_id long, id long, fps array<long>, sketch binary")
+    made = stored(made, "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    chosen = fingerprints.join(class_components(fingerprints), "fp").groupBy("top").agg(F.min(place).alias("first"))
+    texts = reliable(made.groupBy("id").agg(F.min(place).alias("first")))
+    owners = texts.select(F.col("first.row").alias("row"))
+    sketches = made.join(owners, "row", "left_semi")
+    fps = sketches.select("id", F.posexplode("fps").alias("family", "fp"))
+    classes = reliable(fps.groupBy("family", "fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    near = near_links(classes.select("family", "fp"))
+    one = classes.select(F.col("fp").alias("u"), F.col("least").alias("a")).distinct()
+    two = one.select(F.col("u").alias("v"), F.col("a").alias("b"))
+    equal = fps.join(classes.where("n > 1").select("family", "fp", "least"), ["family", "fp"]).where("id != least")
+    pairs = near.join(one, "u").join(two, "v").select("a", "b").unionByName(
+        equal.select(F.col("id").alias("a"), F.col("least").alias("b"))
+    )
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    compared = (
+        pairs.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("x")), "u")
+        .join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("y")), "v")
+        .select("u", "v", "x", "y")
+        .mapInArrow(similar(similarity), "u long, v long")
+    )
+    tops = components(compared).select(F.col("u").alias("id"), F.col("v").alias("top"))
+    chosen = texts.join(tops, "id", "left").groupBy(F.coalesce("top", "id")).agg(F.min("first").alias("first"))
     return rows.join(chosen.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)
