@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwheel.functions import iso_date, slug
 from tarnwheel.operators.results import first_wins
+from tarnwheel.sources.store import conform
 
 MEMBERS_PER_TEAM = 20
 ANSWER_ORDER = ["received", "l_partkey", "l_suppkey", "generation_seconds", "peak_ram_mb"]
@@ -85,6 +86,25 @@ def answers(t):
     return first_wins(attempts(t), ["submission_id", "question_id"], ANSWER_ORDER)
 
 
+def store_tables(t) -> dict:
+    """The five tables of the store, with the answers of all attempts as results."""
+    address = F.concat(slug("c_name"), F.lit("@example.org"))
+    people = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), address.alias("email"))
+    joined = F.lit("2020-01-01").alias("joined_at")
+    sent = submissions(t).withColumn("repo_url", F.concat(F.lit("https://example.org/"), F.col("id").cast("string")))
+    name = F.concat_ws("-", F.col("submission_id").cast("string"), "question_id")
+    results = attempts(t).withColumns(
+        {"id": name, "question_text": F.col("question_id"), "created_at": F.col("received")}
+    )
+    return {
+        "user": conform(people, "user"),
+        "team": conform(teams(t).withColumn("owner_id", F.col("id")), "team"),
+        "team_member": conform(members(t).select("*", joined), "team_member"),
+        "submission": conform(sent, "submission"),
+        "benchmark_result": conform(results, "benchmark_result"),
+    }
+
+
 SQL_USERS = "users AS (SELECT c_custkey AS id, c_name AS name FROM customer)"
 SQL_SLUG = (
     "substr(regexp_replace(regexp_replace(lower(trim({})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48)"

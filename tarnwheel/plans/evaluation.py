@@ -27,6 +27,7 @@ from tarnwheel.operators.store import (
     team_members,
     visible_submissions,
 )
+from tarnwheel.sources.store import key_violations
 from tarnwheel.sources.tables import table_summary
 from tarnwheel.streaming.progress import progress_records
 
@@ -43,6 +44,33 @@ TABLE_NAMES = (
 # Sources and sinks ---------------------------------------------------------
 
 
+def _sql_keys(table: str, key: str, source: str, columns: str) -> str:
+    return f"""SELECT '{table}' AS table_name, '{key}' AS key_columns, count(*) FILTER (WHERE n > 1) AS repeated_keys,
+        CAST(sum(n - 1) AS BIGINT) AS surplus_rows, CAST(0 AS BIGINT) AS incomplete_rows
+        FROM (SELECT count(*) AS n FROM {source} GROUP BY {columns})"""
+
+
+@query(
+    "s16_store_key_violations",
+    " UNION ALL ".join(
+        [
+            _sql_keys("user", "id", "customer", "c_custkey"),
+            _sql_keys("user", "email", "customer", d.SQL_SLUG.format("c_name")),
+            _sql_keys("team", "id", "supplier", "s_suppkey"),
+            _sql_keys("team", "name", "supplier", "s_name"),
+            _sql_keys("team", "slug", "supplier", d.SQL_SLUG.format("s_name")),
+            _sql_keys("team_member", "team_id,user_id", "customer", "c_custkey"),
+            _sql_keys("team_member", "user_id", "customer", "c_custkey"),
+            _sql_keys("submission", "id", "orders", "o_orderkey"),
+            _sql_keys("benchmark_result", "id", "lineitem", "l_orderkey, l_linenumber"),
+            _sql_keys("benchmark_result", "submission_id,question_id", "lineitem", "l_orderkey, l_linenumber"),
+        ]
+    ),
+)
+def s16(t):
+    return key_violations(d.store_tables(t))
+
+
 _SUMMARY = " UNION ALL ".join(
     f"""SELECT '{name}' AS table_name, count(*) AS row_count,
         (SELECT count(*) FROM information_schema.columns WHERE table_name = '{name}') AS column_count,

@@ -206,3 +206,17 @@ def test_only_done_and_error_decide_a_status(spark):
         4: ("running", None),
         5: ("failed", "boom"),
     }
+
+
+def test_store_tables_take_their_schema(spark):
+    from tarnwheel.sources.store import KEYS, conform, key_violations, store_schema
+
+    rows = spark.createDataFrame([(1, 7, "u", "x"), (1, 8, None, "x")], "id long, team_id long, submitted_by_user_id string, more string")
+    rows = rows.withColumns({"repo_url": F.lit("r"), "kind": F.lit("test"), "created_at": F.lit("2024-01-01")})
+    made = conform(rows, "submission")
+    assert [f.dataType for f in made.schema] == [f.dataType for f in store_schema("submission")]
+    assert made.first()["status"] == "queued" and made.first()["completed_questions"] == 0
+    with pytest.raises(ValueError):
+        conform(rows.drop("kind"), "submission")
+    assert [tuple(r) for r in key_violations({"submission": made}).collect()] == [("submission", "id", 1, 1, 1)]
+    assert all(set(k) <= set(store_schema(n).fieldNames()) for n, keys in KEYS.items() for k in keys)
