@@ -7,8 +7,8 @@ import shutil
 
 import pytest
 
-import __spark_entry__ as entry
 from support import DATA, TABLES, check, duck
+from tarnwheel.plans.registry import CATALOGUE
 
 HOT = {
     "lineitem": {"l_orderkey": 0, "l_partkey": 1, "l_suppkey": 2},
@@ -20,7 +20,7 @@ HOT = {
 # The ones that split, pair up or join row by row; TARNWHEEL_FULL=1 takes them all.
 CHOSEN = ("win", "pip01", "pip06", "pip11", "joi06", "joi07", "joi15", "opt17", "opt21", "v04_c", "v06", "x01", "x04", "x06", "x08")
 FULL = os.environ.get("TARNWHEEL_FULL") == "1"
-NAMES = [n for n in entry.queries() if n.startswith("" if FULL else CHOSEN)]
+NAMES = [n for n in CATALOGUE if n.startswith("" if FULL else CHOSEN)]
 
 
 @pytest.fixture(scope="module")
