@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarnwheel.functions import digest16, last_json_line, slug
+from tarnwheel.functions import digest16, iso_date, last_json_line, money, slug, sum_dp
 from tarnwheel.operators import running_sum
 from tarnwheel.operators.closure import tree_totals
 from tarnwheel.operators.fingerprint import (
@@ -27,12 +28,13 @@ from tarnwheel.operators.store import (
     team_members,
     visible_submissions,
 )
+from tarnwheel.session import scratch_path
 from tarnwheel.sources.store import key_violations
-from tarnwheel.sources.tables import table_summary
+from tarnwheel.sources.tables import open_registry, table_summary
 from tarnwheel.streaming.progress import progress_records
 
 from . import derived as d
-from .catalogue import CATALOGUE, query, sql_round
+from .catalogue import CATALOGUE, query, sql_money, sql_round, sql_sum
 
 VIEWER = 7
 TABLE_NAMES = (
@@ -44,6 +46,27 @@ TABLE_NAMES = (
 # Sources and sinks ---------------------------------------------------------
 
 
+ORDERS_CSV = T.StructType.fromDDL("o_orderkey BIGINT, o_totalprice DOUBLE, o_orderdate STRING")
+
+
+@query(
+    "s02_csv_orders_by_year",
+    f"""SELECT CAST(year(o_orderdate) AS INTEGER) AS order_year, count(*) AS n_orders,
+               {sql_sum(sql_money('o_totalprice'))} AS total_price FROM orders GROUP BY 1""",
+)
+def s02(t):
+    """The orders as CSV with text dates, opened by a registry with a schema, and their dates read from the text."""
+    folder = scratch_path(t.spark, "csv")
+    written = t.orders.select("o_orderkey", "o_totalprice", iso_date("o_orderdate").alias("o_orderdate"))
+    written.write.option("header", True).csv(f"{folder}/orders")
+    entries = {"orders_text": {"file_name": "orders", "format": "csv"}}
+    orders = open_registry(t.spark, entries, root=folder, schemas={"orders_text": ORDERS_CSV}, views=False)["orders_text"]
+    year = F.year(F.col("o_orderdate").cast("date")).alias("order_year")
+    return orders.groupBy(year).agg(
+        F.count(F.lit(1)).alias("n_orders"), sum_dp(money("o_totalprice")).alias("total_price")
+    )
+
+
 def _sql_keys(table: str, key: str, source: str, columns: str) -> str:
     return f"""SELECT '{table}' AS table_name, '{key}' AS key_columns, count(*) FILTER (WHERE n > 1) AS repeated_keys,
         CAST(sum(n - 1) AS BIGINT) AS surplus_rows, CAST(0 AS BIGINT) AS incomplete_rows
