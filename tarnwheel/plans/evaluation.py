@@ -46,7 +46,13 @@ TABLE_NAMES = (
 # Sources and sinks ---------------------------------------------------------
 
 
-ORDERS_CSV = T.StructType.fromDDL("o_orderkey BIGINT, o_totalprice DOUBLE, o_orderdate STRING")
+ORDERS_CSV = T.StructType(
+    [
+        T.StructField("o_orderkey", T.LongType()),
+        T.StructField("o_totalprice", T.DoubleType()),
+        T.StructField("o_orderdate", T.StringType()),
+    ]
+)
 
 
 @query(
