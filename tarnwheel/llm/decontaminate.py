@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textpass import alnum_words, map_texts
+from .textpass import alnum_words, map_texts, stored
 
 #: Words of the items in one automaton; it bounds what a task and a closure hold.
 WORDS_PER_AUTOMATON = 500_000
+#: Automata of one pass over the documents.
+PER_PASS = 4
+CARRIED = "__carried_text"
 
 
 class Automaton:
@@ -180,31 +184,44 @@ def benchmark_hits(
 ) -> DataFrame:
     """``keep`` (new names of columns), ``n_words``, covered word ``spans`` and ``items`` of every row of ``docs``.
 
-    The automata of the items go to the tasks with the function; each holds at
-    most ``words_per_automaton`` words, and a large benchmark has several, which
-    the tasks read one after another.  Documents are streamed once, not shuffled.
+    The automata of the items go to the tasks with the function.  Each holds at
+    most ``words_per_automaton`` words and a pass over the documents takes at
+    most ``PER_PASS`` of them, so what a task or the driver holds is bounded; a
+    larger benchmark takes more passes, with the table written in between.
+    Documents are streamed, not shuffled.
 
     An item of fewer words than a window is one window; an item without words,
     or with a null id or text, is none.  Null and empty documents have no words,
     spans and items.  Rows with equal ids or texts are handled alike.  ``each``
     adds columns ``more`` made from a text, its spans and its number of words.
     """
-    chains = list(automata(items, item_id, item_text, window, words_per_automaton))
-
-    def make():
-        def one(text: bytes | None) -> tuple:
-            words = alnum_words(text or b"")
-            spans, names = chains[0].scan(words)
-            for chain in chains[1:]:
-                other, more_names = chain.scan(words)
-                spans, names = spans + other, names | more_names
-            spans = merged(spans)
-            made = [{"start": a, "end": b} for a, b in spans]
-            return (len(words), made, sorted(names), *(each(text, spans, len(words)) if each else ()))
-
-        return one
-
-    return map_texts(docs, keep, text_col, make, T.StructType(FOUND.fields + list(more)))
+    pending = automata(items, item_id, item_text, window, words_per_automaton)
+    group = list(islice(pending, PER_PASS))
+    frame, columns, text, known = docs, dict(keep), text_col, ()
+    while following := list(islice(pending, PER_PASS)):
+        columns[CARRIED] = text
+        frame = stored(map_texts(frame, columns, text, scanner(group), FOUND, known), "hits")
+        columns, text, known = {c: c for c in columns}, CARRIED, ("spans", "items")
+        group = following
+    columns.pop(CARRIED, None)
+    schema = T.StructType(FOUND.fields + list(more))
+    return map_texts(frame, columns, text, scanner(group, each), schema, known)
+
+
+def scanner(chains: list[Automaton], each: Callable | None = None) -> Callable:
+    """Makes the function that adds what some automata find in a text to what is known of it."""
+
+    def one(text: bytes | None, spans: list[dict] | None = None, items: list[str] | None = None) -> tuple:
+        words = alnum_words(text or b"")
+        found, names = [(s["start"], s["end"]) for s in spans or ()], set(items or ())
+        for chain in chains:
+            covered, named = chain.scan(words)
+            found, names = found + covered, names | named
+        found = merged(found)
+        made = [{"start": a, "end": b} for a, b in found]
+        return (len(words), made, sorted(names), *(each(text, found, len(words)) if each else ()))
+
+    return lambda: one
 
 
 def without_spans(text: bytes | None, spans: list[tuple[int, int]], n_words: int) -> tuple[str | None, float]:

@@ -80,8 +80,9 @@ def brute_hits(text, items):
     return len(doc), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("limit", [500_000, 25])
-def test_benchmark_hits(docs, texts, benchmark, limit):
+@pytest.mark.parametrize(("limit", "per_pass"), [(500_000, 4), (25, 4), (25, 1)])
+def test_benchmark_hits(docs, texts, benchmark, limit, per_pass, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PER_PASS", per_pass)
     items = [tuple(r) for r in benchmark.collect() if r[0] is not None and r[1] is not None]
     got = decontaminate.benchmark_hits(docs, benchmark, {"doc_id": "doc_id"}, words_per_automaton=limit)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
