@@ -17,6 +17,7 @@ suffixes into buckets, and an anchor that occurs once rules its windows out.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,24 +212,29 @@ def cut_fragments(buckets: int):
     """Fragments of the texts (``key, doc, text``) around their repeated anchors ``narrow`` and ``wide``.
 
     Equal fragments of one chunk leave once, as the first of them; the others
-    are later copies and leave as ranges to remove (without data).  Windows of a
+    are later copies and leave as ranges to remove, without data, joined and
+    dealt by text, so that a hot fragment fills no bucket.  Windows of a
     wide anchor leave one by one as 128-bit hashes, which also choose the bucket.
     """
 
     def run(batches):
         for rows in chunks(batches, CUT_CHUNK):
             firsts: dict[bytes, tuple] = {}
-            out = []
+            late: dict[bytes, list] = {}
 
             def offer(bucket: int, place: tuple, end: int, data: bytes) -> None:
                 known = firsts.get(data)
                 if known is None:
                     firsts[data] = (place, end, bucket)
                 elif known[0] != place:
-                    late = (place, end) if known[0] < place else known[:2]
+                    after, until = (place, end) if known[0] < place else known[:2]
                     if place < known[0]:
                         firsts[data] = (place, end, bucket)
-                    out.append((bucket, late[0][2], None if late[0][0] else late[0][1], late[0][3], late[1], None))
+                    ranges = late.setdefault(after[2], [])
+                    if ranges and ranges[-1][0] <= after[3] <= ranges[-1][1]:
+                        ranges[-1][1] = max(ranges[-1][1], until)
+                    else:
+                        ranges.append([after[3], until])
 
             for row in rows:
                 text, key, doc = row["text"], row["key"], row["doc"]
@@ -247,10 +253,15 @@ def cut_fragments(buckets: int):
                         dealt = (hashes[:, 0] % np.uint64(buckets)).tolist()
                         for i in range(b - a):
                             offer(dealt[i], (*base, a + i), a + i + WINDOW, hashes[i].tobytes())
-            out += [
+            out = [
                 (bucket, place[2], None if place[0] else place[1], place[3], end, data)
                 for data, (place, end, bucket) in firsts.items()
             ]
+            out += [
+                (zlib.crc32(key) % buckets, key, None, start, end, None)
+                for key, ranges in late.items()
+                for start, end in ranges
+            ]
             for at in range(0, len(out), 50_000):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(zip(*out[at : at + 50_000], strict=True), PIECES_ARROW, strict=True)],
