@@ -143,7 +143,9 @@ def shard_documents(
     )
     total = rows.count()
     quota, extra = divmod(total, shards)
-    linked = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # Written before the join: AQE splits a hot group only between plain shuffles.
+    linked = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    linked = reliable(linked.where("members > 1"))
     marked = reliable(rows.join(linked, "grp", "left"))
     members = marked.where("members IS NOT NULL")
     label = F.pmod(F.xxhash64("doc_id", "grp"), F.lit(shards)).cast("int")
@@ -153,7 +155,7 @@ def shard_documents(
     held = loads(state, shards)
     need = [quota + (s < extra) - held[s] for s in range(shards)]
     # A group's members by number, in the order of its shards: at most one entry per shard.
-    plan = state.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("plan"))
+    plan = reliable(state.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("plan")))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(-2).alias("shard"))
 
     def step(seen: Column, part: Column) -> Column:
