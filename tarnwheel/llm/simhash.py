@@ -208,8 +208,8 @@ def class_components(fingerprints: DataFrame) -> DataFrame:
     classes = reliable(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(near_links(classes.select("fp")))
     rooted = classes.join(found.select(F.col("u").alias("fp"), F.col("v").alias("top")), "fp", "left")
-    rooted = rooted.withColumn("top", F.coalesce("top", "fp"))
-    least = rooted.groupBy("top").agg(F.min("least").alias("component_id"))
+    rooted = reliable(rooted.withColumn("top", F.coalesce("top", "fp")))
+    least = reliable(rooted.groupBy("top").agg(F.min("least").alias("component_id")))
     return rooted.join(least, "top").select("fp", "component_id", "top")
 
 
