@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwheel.session import reliable
+
 from .textpass import map_texts, stored
 
 WINDOW, GRAM = 100, 24
@@ -424,7 +426,8 @@ def repeated_ranges(texts: DataFrame, rows: DataFrame) -> DataFrame:
     links = stored(packed.groupBy("bucket").applyInArrow(repeated_anchors, "anchor long, id long"), "anchors")
     buckets = max(64, links.count() // BUCKET_LINKS)
 
-    wide = links.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE)
+    # Written before the join: AQE splits a hot anchor only between plain shuffles.
+    wide = reliable(links.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE))
     wanted = (
         links.join(wide, "anchor", "left")
         .groupBy("id")
