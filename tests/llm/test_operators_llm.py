@@ -322,6 +322,40 @@ def test_one_of_each(docs, texts):
     assert len([i for i in (165, 167, 168, 169) if i in ids]) == 1  # texts without words
 
 
+def jaccard(a: str, b: str) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (alnum(a), alnum(b)))
+    return len(x & y) / len(x | y)
+
+
+def kept_by_brute_force(rows: list[tuple[int, str]]) -> set[int]:
+    top = {i: i for i, _ in rows}
+    for n, (i, a) in enumerate(rows):
+        for j, b in rows[:n]:
+            if top[i] != top[j] and jaccard(a, b) >= 0.8:
+                low, high = sorted((top[i], top[j]))
+                top = {k: low if t == high else t for k, t in top.items()}
+    return set(top.values())
+
+
+@pytest.mark.parametrize(("paired", "block"), [(1, 16), (64, 512)])
+def test_one_of_each_of_many_copies_of_one_text(spark, paired, block, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(500, " ".join(base))]
+    for i in range(100):
+        copy = list(base)
+        for at in rng.choice(30, size=5, replace=False):
+            copy[10 * at] = base[int(rng.integers(300))]  # the set of words hardly changes
+        rows.append((i, " ".join(copy)))
+    want = kept_by_brute_force(rows)
+    assert sum(jaccard(rows[0][1], t) >= 0.8 for _, t in rows[1:]) > 90
+    assert sum(jaccard(rows[1][1], t) >= 0.8 for _, t in rows[2:]) < 10
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
 def test_quality_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
