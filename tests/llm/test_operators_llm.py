@@ -356,6 +356,23 @@ def test_one_of_each_of_many_copies_of_one_text(spark, paired, block, monkeypatc
     assert {r["doc_id"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("paired", "block"), [(1, 8), (64, 512)])
+def test_one_of_each_of_texts_with_one_set_of_words(spark, paired, block, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    lines, rows = [" ".join(f"w{10 * i + j}" for j in range(5)) for i in range(24)], []
+    for i in range(40):
+        text = " ".join(lines[k] for k in rng.permutation(24))
+        words = text.split()
+        words[60] = words[61]
+        rows += [(i, text), (100 + i, f"{text} w1"), (200 + i, " ".join(words))]
+    want = kept_by_brute_force(rows)
+    assert len(want) == 40
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
 def test_quality_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
