@@ -124,6 +124,26 @@ def test_passages_of_many_texts(docs, texts, monkeypatch):
     assert {classes[100 + i] for i in range(8)} == {100} and classes[162] == 161
 
 
+def fresh_words(rng, n: int) -> list[str]:
+    return [f"v{k}" for k in rng.integers(10**9, size=n)]
+
+
+def test_passages_of_many_texts_count_all_links(spark):
+    rng = np.random.default_rng(7)
+    one, two = fresh_words(rng, 25), fresh_words(rng, 25)
+    both, passage = one + two, fresh_words(rng, 60)
+    rows = [(i, " ".join(fresh_words(rng, 60) + passage + fresh_words(rng, 60))) for i in range(30)]
+    for i in range(40):  # lines of many texts, which only two texts have one after the other
+        rows.append((100 + i, " ".join(fresh_words(rng, 40) + (one if i % 2 else two) + fresh_words(rng, 40))))
+    rows += [(200 + i, " ".join(fresh_words(rng, 40) + both + fresh_words(rng, 40))) for i in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in passages.near_passages(frame).collect()}
+    assert {got[i]["n_links"] for i in range(30)} == {29}
+    assert {got[i]["class_id"] for i in range(30)} == {0}
+    assert all(got[100 + i]["n_links"] == 0 for i in range(40))
+    assert got[201]["class_id"] == 200 and got[200]["n_links"] == 1
+
+
 def test_compact_windows_are_all_and_only():
     rng = np.random.default_rng(3)
     values = rng.integers(1, 60, size=400).astype(np.uint64)
