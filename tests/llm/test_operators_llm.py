@@ -136,12 +136,15 @@ def test_passages_of_many_texts_count_all_links(spark):
     for i in range(40):  # lines of many texts, which only two texts have one after the other
         rows.append((100 + i, " ".join(fresh_words(rng, 40) + (one if i % 2 else two) + fresh_words(rng, 40))))
     rows += [(200 + i, " ".join(fresh_words(rng, 40) + both + fresh_words(rng, 40))) for i in range(2)]
+    # A line, then the whole passage that it is taken from.
+    rows += [(300 + i, " ".join(fresh_words(rng, 60) + passage[:30] + fresh_words(rng, 60) + passage)) for i in range(2)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r for r in passages.near_passages(frame).collect()}
-    assert {got[i]["n_links"] for i in range(30)} == {29}
-    assert {got[i]["class_id"] for i in range(30)} == {0}
+    assert {got[i]["n_links"] for i in [*range(30), 300, 301]} == {31}
+    assert {got[i]["class_id"] for i in [*range(30), 300, 301]} == {0}
     assert all(got[100 + i]["n_links"] == 0 for i in range(40))
     assert got[201]["class_id"] == 200 and got[200]["n_links"] == 1
+    assert got[300]["spans"][-1]["start"] <= 150 and got[300]["spans"][-1]["end"] == 210
 
 
 def test_compact_windows_are_all_and_only():
