@@ -138,6 +138,10 @@ def test_passages_of_many_texts_count_all_links(spark):
     rows += [(200 + i, " ".join(fresh_words(rng, 40) + both + fresh_words(rng, 40))) for i in range(2)]
     # A line, then the whole passage that it is taken from.
     rows += [(300 + i, " ".join(fresh_words(rng, 60) + passage[:30] + fresh_words(rng, 60) + passage)) for i in range(2)]
+    # Two passages with 30 other words between them; one passage at two places.
+    first, second = fresh_words(rng, 55), fresh_words(rng, 55)
+    rows += [(400 + i, " ".join(first + fresh_words(rng, 30) + second)) for i in range(2)]
+    rows.append((402, " ".join(first + fresh_words(rng, 30) + first)))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r for r in passages.near_passages(frame).collect()}
     assert {got[i]["n_links"] for i in [*range(30), 300, 301]} == {31}
@@ -145,6 +149,18 @@ def test_passages_of_many_texts_count_all_links(spark):
     assert all(got[100 + i]["n_links"] == 0 for i in range(40))
     assert got[201]["class_id"] == 200 and got[200]["n_links"] == 1
     assert got[300]["spans"][-1]["start"] <= 150 and got[300]["spans"][-1]["end"] == 210
+    for i in (400, 401):
+        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == [(0, 55), (85, 140)]
+    assert [(s["start"], s["end"]) for s in got[402]["spans"]] == [(0, 55), (85, 140)]
+
+
+def test_shared_ranges_are_all_of_a_stretch():
+    x, y = np.arange(46, dtype=np.uint32), np.arange(100, 146, dtype=np.uint32)
+    gap, other = np.arange(1000, 1034, dtype=np.uint32), np.arange(2000, 2034, dtype=np.uint32)
+    got = passages.shared_ranges(np.concatenate([x, gap, y]), np.concatenate([x, other, y]))
+    assert sorted(r[:4] for r in got) == [(0, 45, 0, 45), (80, 125, 80, 125)]
+    got = passages.shared_ranges(x, np.concatenate([x, other, x]))
+    assert {r[2:4] for r in got} >= {(0, 45), (80, 125)}
 
 
 def test_compact_windows_are_all_and_only():
