@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,7 +176,7 @@ def repeated_anchors(table: pa.Table) -> pa.Table:
     """``anchor, id``: repeated anchors and the texts that hold them, from one bucket."""
 
     def load(known: bool, name: str) -> np.ndarray:
-        parts = table.filter(pa.compute.equal(table["known"], known))[name].to_pylist()
+        parts = table.filter(pc.equal(table["known"], known))[name].to_pylist()
         return np.frombuffer(b"".join(parts), dtype=np.int64)
 
     anchors, texts = load(False, "anchors"), load(False, "texts")
