@@ -11,6 +11,7 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 ROOT = Path(__file__).resolve().parents[1]
 if str(ROOT) not in sys.path:
@@ -33,7 +34,7 @@ def duck(folder: Path | str) -> duckdb.DuckDBPyConnection:
 
 
 def cell(value) -> str:
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return "null"
     if isinstance(value, float):
         return "null" if math.isnan(value) else repr(value + 0.0)
@@ -71,6 +72,13 @@ def difference(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
     return f"types {wrong}" if wrong else None
 
 
+def fetched(df) -> pd.DataFrame:
+    """The rows of a Spark result; whole numbers stay whole beside nulls."""
+    frame = df.toPandas()
+    whole = [f.name for f in df.schema.fields if isinstance(f.dataType, T.LongType) and frame[f.name].dtype.kind == "f"]
+    return frame.astype(dict.fromkeys(whole, "Int64"))
+
+
 def check(spark, folder, names=None):
     """Run queries against their twins; yields (name, seconds, problem, rows)."""
     import __spark_entry__ as entry
@@ -80,7 +88,7 @@ def check(spark, folder, names=None):
     for name in names or queries:
         started = time.time()
         try:
-            got = queries[name](spark, str(folder)).toPandas()
+            got = fetched(queries[name](spark, str(folder)))
             problem = None
             if name in twins:
                 problem = difference(got, connection.execute(twins[name]).df())
