@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from .lines import dedup_lines
 from .mixing import mix, with_sizes
 from .passages import near_passages
 from .quality import quality_scores, with_statistics
+from .runs import periodic_runs, run_summary
 from .sharding import shard_documents
 from .simhash import with_components, with_fingerprints
 from .substrings import dedup_substrings
@@ -100,3 +102,19 @@ def op9(t: Tables) -> DataFrame:
 def op10(t: Tables) -> DataFrame:
     features = stored(with_statistics(t.documents), "features")
     return quality_scores(features, t.labels)
+
+
+def made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, chosen by their ids, with all words from some place on repeating a stretch."""
+    chosen = None if doc_id is None else zlib.crc32(b"%d" % doc_id)
+    if chosen is None or chosen % 10 or not words:
+        return words
+    rest, n = chosen // 10, len(words)
+    start = rest % n
+    period = 1 + (n - start) // (3 + rest % 8)
+    return words[:start] + (words[start : start + period] * ((n - start) // period + 1))[: n - start]
+
+
+@query("op11_runs", twins.RUNS)
+def op11(t: Tables) -> DataFrame:
+    return run_summary(periodic_runs(t.documents, prepare=made_periodic))

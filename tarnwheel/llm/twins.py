@@ -97,3 +97,49 @@ LINES = """
         sha256(coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '')) AS kept_sha256
     FROM edges GROUP BY doc_id
 """
+
+RUNS = """
+    WITH numbered AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+            list_reduce(
+                list_prepend(CAST(4294967295 AS BIGINT), CAST(range(8 * len(CAST(doc_id AS VARCHAR))) AS BIGINT[])),
+                lambda c, k: (CASE
+                    WHEN xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr(CAST(doc_id AS VARCHAR), CAST(k // 8 + 1 AS INTEGER), 1)) ELSE 0 END) % 2 = 1
+                    THEN xor(xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr(CAST(doc_id AS VARCHAR), CAST(k // 8 + 1 AS INTEGER), 1)) ELSE 0 END) // 2, 3988292384)
+                    ELSE xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr(CAST(doc_id AS VARCHAR), CAST(k // 8 + 1 AS INTEGER), 1)) ELSE 0 END) // 2 END)
+            ) AS c
+        FROM documents
+    ),
+    placed AS (
+        SELECT doc_id, ws, len(ws) AS n, h, a, 1 + (len(ws) - a) // (3 + (h // 10) % 8) AS p
+        FROM (SELECT *, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) ELSE 0 END AS a FROM (SELECT *, xor(c, 4294967295) AS h FROM numbered))
+    ),
+    words AS (
+        SELECT doc_id, i, ws[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS w
+        FROM (SELECT *, unnest(range(n)) AS i FROM placed)
+    ),
+    equal_words AS (
+        SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i
+    ),
+    islands AS (
+        SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal_words)
+        GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)
+    ),
+    runs AS (SELECT doc_id, start, length, min(q) AS period FROM islands GROUP BY doc_id, start, length),
+    best AS (
+        SELECT doc_id, count(*) AS n_runs, max(ROW(length, -start, -period)) AS top,
+            string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+        FROM runs GROUP BY doc_id
+    ),
+    dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (
+        SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text
+        FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-top[2] AS BIGINT) AS start,
+        CAST(top[1] AS BIGINT) AS length, CAST(-top[3] AS BIGINT) AS period,
+        CAST(1000 * top[1] // -top[3] AS BIGINT) AS exponent_milli,
+        sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM documents d LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
