@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from .sharding import shard_documents
 from .simhash import with_components, with_fingerprints
 from .substrings import dedup_substrings
 from .textpass import stored
+from .tokenfiles import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,3 +120,14 @@ def made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
 @query("op11_runs", twins.RUNS)
 def op11(t: Tables) -> DataFrame:
     return run_summary(periodic_runs(t.documents, prepare=made_periodic))
+
+
+@query("op12_token_files")
+def op12(t: Tables) -> DataFrame:
+    folder = write_token_files(
+        t.documents, public_tokenizers.path("word_bpe_49k.json"), end_id=2, mark="<|endoftext|>"
+    )
+    found = read_token_files(t.spark, folder)
+    return found.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
