@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnwheel.sources.tables import Tables
 
 from . import twins
+from .alignment import align_tokens
 from .decontaminate import benchmark_hits
 from .forest import nearest
 from .licenses import license_summary, scan_licenses
@@ -131,3 +132,15 @@ def op12(t: Tables) -> DataFrame:
     return found.select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query("op13_alignment")
+def op13(t: Tables) -> DataFrame:
+    found = align_tokens(
+        t.documents,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        digest=lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256)),
+    )
+    numbers = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return found.select(*numbers, F.col("groups").alias("groups_sha256"), "n_overlaps")

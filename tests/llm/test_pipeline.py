@@ -21,7 +21,7 @@ def test_twins(spark, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12 + 1))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13 + 1))
 
 
 @pytest.fixture(scope="module")
