@@ -23,12 +23,14 @@ from tarnwheel.session import reliable
 
 from .textpass import stored
 from .tokenfiles import by_bytes, pack, unpack
-from .tokens import Memory, open_tokenizer
+from .tokens import Encoder, Memory, kept, listed, open_tokenizer
 
 #: Ends that one piece merges.
 PIECE = 1 << 15
+#: Words that a process remembers.
+MEMORY = 500_000
 #: Bytes of text that a task aligns together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Neither tokenizer has a token that reaches over a single space between words.
 CUT = r"(?<=\S) (?=\S)"
 SPACE = "▁"
@@ -97,23 +99,34 @@ def byte_level_bytes() -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of one tokenizer, and the bytes of each token; units whose tokens are not their bytes have none."""
+    """One tokenizer: the bytes of each of its tokens, and the ids of units; units whose tokens are not their bytes have none.
 
-    def __init__(self, pieces: list[bytes], encode: Callable[[list[str]], list[list[int]]]):
-        self.pieces, self.plain = pieces, encode
+    ``plain`` gives the ids and numbers of ids of units, each with a space before it.
+    """
+
+    def __init__(self, pieces: list[bytes], plain: Encoder):
+        self.pieces, self.plain = pieces, plain
         self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-        self.memory = Memory(self.encode)
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        bytes_of = self.pieces.__getitem__
-        return [
-            ids if b"".join(map(bytes_of, ids)) == b" " + u.encode() else []
-            for u, ids in zip(units, self.plain(units), strict=True)
-        ]
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = self.plain(units)
+        wanted = [b" " + u.encode() for u in units]
+        pieces = [self.pieces[i] for i in ids.tolist()]
+        ends = np.cumsum(sizes)
+        if b"".join(pieces) == b"".join(wanted):
+            bytes_at = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+            if np.array_equal(bytes_at[ends], np.cumsum([len(w) for w in wanted])):
+                return ids, sizes
+        good = [b"".join(pieces[e - n : e]) == w for e, n, w in zip(ends.tolist(), sizes.tolist(), wanted, strict=True)]
+        return ids[np.repeat(good, sizes)], np.where(good, sizes, 0)
 
 
 def byte_level(path: str) -> Tokens:
-    """A byte-level tokenizer of the tokenizers library; special tokens in texts are plain text."""
+    """A byte-level tokenizer of the tokenizers library; special tokens in texts are plain text.
+
+    Units go through as one text if none of them has white space at its limits,
+    as every token ends at or before the end of its unit; their bytes tell which are whose.
+    """
     tokenizer = open_tokenizer(path)
     tokenizer.encode_special_tokens = True
     byte = byte_level_bytes()
@@ -121,7 +134,19 @@ def byte_level(path: str) -> Tokens:
     pieces = [b""] * (entries[-1][1] + 1)
     for entry, i in entries:
         pieces[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
-    return Tokens(pieces, lambda units: [e.ids for e in tokenizer.encode_batch_fast([" " + u for u in units], add_special_tokens=False)])
+    lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+
+    def plain(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if all(u and u == u.strip() for u in units):
+            text = " " + " ".join(units)
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends, unit_ends = np.cumsum(lengths[ids]), np.cumsum([len(u.encode()) + 1 for u in units])
+            last = np.minimum(np.searchsorted(ends, unit_ends), len(ends) - 1)
+            if np.array_equal(ends[last], unit_ends):
+                return ids, np.diff(np.concatenate([[-1], last]))
+        return listed([e.ids for e in tokenizer.encode_batch_fast([" " + u for u in units], add_special_tokens=False)])
+
+    return Tokens(pieces, plain)
 
 
 def piece_level(path: str) -> Tokens:
@@ -133,7 +158,16 @@ def piece_level(path: str) -> Tokens:
     pieces = [
         bytes([int(n[1:-1], 16)]) if model.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)
     ]
-    return Tokens(pieces, lambda units: model.encode(units, num_threads=1))
+    return Tokens(pieces, lambda units: listed(model.encode(units, num_threads=1)))
+
+
+class Pair:
+    """Both tokenizers with one memory of units, and the decimal forms of ids before each sign of the written groups."""
+
+    def __init__(self, path_a: str, path_b: str, limit: int = MEMORY):
+        self.a, self.b = byte_level(path_a), piece_level(path_b)
+        self.memory = Memory([self.a.encode, self.b.encode], limit)
+        self.digits = [f"{i}{s}" for i in range(max(len(self.a.pieces), len(self.b.pieces))) for s in ",|;"]
 
 
 ALIGNED = """chunk long, doc_id long, n_a long, n_b long, n_groups long, n_overlaps long, groups string, links binary,
@@ -149,35 +183,30 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str, text_col:
 
     def run(batches):
         cut = re.compile(CUT)
-        first, second = byte_level(path_a), piece_level(path_b)
-        ids = range(max(len(first.pieces), len(second.pieces)))
-        digits = [f"{i}{s}" for i in ids for s in ",|;"]
+        pair = kept(f"pair {path_a} {path_b}", lambda: Pair(path_a, path_b))
         key = TaskContext.get().partitionId() << 33
         for rows in by_bytes(batches, 1, chunk):
             units = [cut.split(t) if t else [] for t in rows.column(1).to_pylist()]
-            yield align_chunk(key, rows.column(0), units, first, second, digits, piece)
+            yield align_chunk(key, rows.column(0), units, pair, piece)
             key += 1
 
     return given.mapInArrow(run, ALIGNED)
 
 
-def align_chunk(key: int, names: pa.Array, units: list[list[str]], first: Tokens, second: Tokens, digits: list[str], piece: int):
-    def lookup(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        return tokens.memory.ids([u for us in units for u in us])
-
+def align_chunk(key: int, names: pa.Array, units: list[list[str]], pair: Pair, piece: int) -> pa.RecordBatch:
     def per_text(values: np.ndarray) -> np.ndarray:
         """Sums of a value per unit over the units of each text."""
-        sums = np.r_[0, np.cumsum(values)]
+        sums = np.concatenate([[0], np.cumsum(values)])
         ends = np.cumsum([len(us) for us in units], dtype=np.int64)
-        return np.diff(np.r_[0, sums[ends]])
+        return np.diff(np.concatenate([[0], sums[ends]]))
 
-    (a, size_a), (b, size_b) = lookup(first), lookup(second)
+    (a, size_a), (b, size_b) = pair.memory.ids([u for us in units for u in us])
     broken = per_text((size_a == 0) | (size_b == 0)) > 0
     if broken.any():
         units = [[] if bad else us for us, bad in zip(units, broken, strict=True)]
-        (a, size_a), (b, size_b) = lookup(first), lookup(second)
+        (a, size_a), (b, size_b) = pair.memory.ids([u for us in units for u in us])
     n_a, n_b = per_text(size_a), per_text(size_b)
-    ends_a, ends_b = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
+    ends_a, ends_b = np.cumsum(pair.a.lengths[a]), np.cumsum(pair.b.lengths[b])
     i, j, together = overlaps(ends_a, ends_b, piece)
     n_overlaps = np.bincount(np.searchsorted(np.cumsum(n_a), i, "right"), minlength=len(units))
     # Groups end where both tokens end; their ranges are the stitched cuts of all pieces.
@@ -187,14 +216,15 @@ def align_chunk(key: int, names: pa.Array, units: list[list[str]], first: Tokens
     text_of = np.searchsorted(np.cumsum(n_a), i, "right")
     n_groups = np.bincount(text_of, minlength=len(units))
     # Places of the tokens in the written form: the A tokens of a group, then its B tokens.
-    shown = np.zeros(len(a) + len(b), dtype=np.int64)
-    sign_a, sign_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-    sign_a[i], sign_b[j] = 1, 2
-    shown[np.arange(len(a)) + np.repeat(from_b, to_a - from_a)] = 3 * a.astype(np.int64) + sign_a
-    shown[np.arange(len(b)) + np.repeat(to_a, to_b - from_b)] = 3 * b.astype(np.int64) + sign_b
+    shown = np.zeros(len(a) + len(b), dtype=np.int32)
+    sign_a, sign_b = 3 * a.astype(np.int32), 3 * b.astype(np.int32)
+    sign_a[i] += 1
+    sign_b[j] += 2
+    shown[np.arange(len(a)) + np.repeat(from_b, to_a - from_a)] = sign_a
+    shown[np.arange(len(b)) + np.repeat(to_a, to_b - from_b)] = sign_b
     ends = np.cumsum(n_a + n_b).tolist()
-    shown = shown.tolist()
-    groups = ["".join(map(digits.__getitem__, shown[x:y]))[:-1] for x, y in zip([0, *ends], ends, strict=False)]
+    written = pair.digits.__getitem__
+    groups = ["".join(map(written, shown[x:y].tolist()))[:-1] for x, y in zip([0, *ends], ends, strict=False)]
     # Pairs of ids, the most frequent one first.
     codes, link, counts = np.unique(a[i].astype(np.int64) << 32 | b[j], return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tarnwheel.session import scratch_path
 
 from .textpass import stored
-from .tokens import Memory, open_tokenizer, word_encoder
+from .tokens import Memory, kept, open_tokenizer, word_encoder
 
 MAGIC = 0x31534449_4B4F5454
 HEADER = "<4Q"
@@ -89,8 +89,8 @@ def memoryview_of(value: pa.Scalar) -> memoryview:
 def encoded(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int | None, mark: str | None) -> DataFrame:
     """``row, doc_id, ids`` of every row, the ids as packed numbers of two or four bytes.
 
-    A text is cut at ASCII white space and each different word is encoded once
-    per task, which is right for tokenizers that let no token reach across
+    A text is cut at ASCII white space, and a process encodes each different word
+    once, as long as it remembers it, which is right for tokenizers that let no token reach across
     white space.
     """
     given = docs.select(
@@ -100,13 +100,13 @@ def encoded(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: i
     )
 
     def run(batches):
-        tokenizer = open_tokenizer(path)
+        tokenizer = kept(f"tokenizer {path}", lambda: open_tokenizer(path))
         kind = kind_of(tokenizer.get_vocab_size(with_added_tokens=True))
-        memory = Memory(word_encoder(tokenizer, mark))
+        memory = kept(f"words {path} {mark}", lambda: Memory([word_encoder(tokenizer, mark)]))
         for part in by_bytes(batches, 2, CHUNK):
             words = [t.split() for t in part.column(2).to_pylist()]
             counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-            ids, sizes = memory.ids([w for ws in words for w in ws])
+            ((ids, sizes),) = memory.ids([w for ws in words for w in ws])
             ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)].tolist()
             last = np.array([] if end_id is None else [end_id], dtype=kind).tobytes()
             ids, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize

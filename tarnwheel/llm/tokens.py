@@ -3,70 +3,113 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Callable
 
 import numpy as np
 
-#: Words that a memory holds before it starts anew.
-MEMORY = 1_000_000
+#: Words that a memory holds before it forgets those that came once.
+MEMORY = 800_000
 #: Words that go to a tokenizer together.
-TOGETHER = 1000
+TOGETHER = 200
 
+#: Gives the ids of units, one after the other, and the number of ids of each.
+Encoder = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
-class Memory:
-    """Ids of units (words) that are encoded once and then looked up.
 
-    ``encode`` gives one list of ids per unit.  A memory of more than ``limit``
-    units starts anew, so it is bounded however many different units occur.
+def kept(name: str, make: Callable):
+    """What ``make`` has made first in this process.
+
+    Spark hands a Python process from task to task, while functions and their
+    modules come anew with each; so what tasks share stands in a module of its own.
     """
+    home = sys.modules.setdefault("tarnwheel_worker", types.ModuleType("tarnwheel_worker"))
+    if name not in home.__dict__:
+        home.__dict__[name] = make()
+    return home.__dict__[name]
+
 
-    def __init__(self, encode: Callable[[list], list[list[int]]], limit: int = MEMORY):
-        self.encode, self.limit = encode, limit
-        self.clear()
+class Memory:
+    """Ids of units (words) that one or more encoders give, encoded once and then looked up.
+
+    A memory of more than ``limit`` units forgets those that came once, and if
+    that is not half of them all, so it is bounded however many different units occur.
+    """
 
-    def clear(self) -> None:
+    def __init__(self, encoders: list[Encoder], limit: int = MEMORY):
+        self.encoders, self.limit = encoders, limit
         self.index: dict = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1 << 12, dtype=np.int64)
-        self.sizes = np.zeros(1 << 12, dtype=np.int64)
-        self.used = 0
+        self.uses = np.zeros(1 << 12, dtype=np.uint32)
+        self.flat = [np.zeros(1 << 16, dtype=np.uint16) for _ in encoders]
+        self.starts = [np.zeros(1 << 12, dtype=np.uint32) for _ in encoders]
+        self.sizes = [np.zeros(1 << 12, dtype=np.uint32) for _ in encoders]
+        self.used = [0 for _ in encoders]
 
     def learn(self, units: list) -> None:
-        lists = self.encode(units)
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        ids = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(sizes.sum()))
-        first = len(self.index)
-        self.flat = grown(self.flat, self.used + len(ids))
-        self.starts, self.sizes = grown(self.starts, first + len(units)), grown(self.sizes, first + len(units))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[first : first + len(units)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[first : first + len(units)] = sizes
-        self.used += len(ids)
-        self.index.update(zip(units, range(first, first + len(units)), strict=True))
-
-    def ids(self, units: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units, one after the other, and the number of ids of each."""
+        first, last = len(self.index), len(self.index) + len(units)
+        for k, encode in enumerate(self.encoders):
+            self.hold(k, first, *encode(units))
+        self.uses = grown(self.uses, last)
+        self.uses[first:last] = 0
+        self.index.update(zip(units, range(first, last), strict=True))
+
+    def hold(self, k: int, first: int, ids: np.ndarray, sizes: np.ndarray) -> None:
+        end = self.used[k] + len(ids)
+        if len(ids) and int(ids.max()) > np.iinfo(self.flat[k].dtype).max:
+            self.flat[k] = self.flat[k].astype(np.uint32)
+        self.flat[k] = grown(self.flat[k], end)
+        self.flat[k][self.used[k] : end] = ids
+        for array, values in ((self.starts, self.used[k] + np.cumsum(sizes) - sizes), (self.sizes, sizes)):
+            array[k] = grown(array[k], first + len(sizes))
+            array[k][first : first + len(sizes)] = values
+        self.used[k] = end
+
+    def forget(self) -> None:
+        often = self.uses[: len(self.index)] > 1
+        if 2 * often.sum() > len(often):
+            often[:] = False
+        places = np.flatnonzero(often)
+        self.index = {u: i for i, u in enumerate(u for u, stays in zip(self.index, often.tolist(), strict=True) if stays)}
+        held = [self.gather(k, places) for k in range(len(self.encoders))]
+        self.used = [0 for _ in self.encoders]
+        for k, (ids, sizes) in enumerate(held):
+            self.hold(k, 0, ids, sizes)
+        self.uses[: len(places)] = 1
+
+    def gather(self, k: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[k][which].astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[k][which].astype(np.int64) - (ends - sizes), sizes)
+        return self.flat[k][at + np.arange(len(at))], sizes
+
+    def ids(self, units: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per encoder the ids of all units, one after the other, and the number of ids of each."""
         if len(self.index) > self.limit:
-            self.clear()
-        missing = list(dict.fromkeys(u for u in units if u not in self.index))
+            self.forget()
+        index = self.index
+        missing = [u for u in dict.fromkeys(units) if u not in index]
         for start in range(0, len(missing), TOGETHER):
             self.learn(missing[start : start + TOGETHER])
-        which = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
-        sizes = self.sizes[which]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[which] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.flat[at], sizes
+        which = np.fromiter(map(index.__getitem__, units), dtype=np.int64, count=len(units))
+        self.uses[: len(index)] += np.bincount(which, minlength=len(index)).astype(np.uint32)
+        return [self.gather(k, which) for k in range(len(self.encoders))]
 
 
 def grown(array: np.ndarray, size: int) -> np.ndarray:
-    """The array, at least ``size`` long, by doubling."""
+    """The array, at least ``size`` long, by half as much again."""
     if len(array) >= size:
         return array
-    new = np.zeros(max(size, 2 * len(array)), dtype=array.dtype)
+    new = np.zeros(max(size, len(array) * 3 // 2), dtype=array.dtype)
     new[: len(array)] = array
     return new
 
 
+def listed(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.array([i for x in lists for i in x], dtype=np.uint32), sizes
+
+
 def open_tokenizer(path: str):
     """A tokenizer of the tokenizers library; one thread, as Spark runs a task per core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,34 +118,23 @@ def open_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def word_encoder(tokenizer, mark: str | None) -> Callable[[list[bytes]], list[list[int]]]:
+def word_encoder(tokenizer, mark: str | None) -> Encoder:
     """Encodes words without special tokens.
 
     Many words go through in one string if a special token ``mark`` can stand
     between them: the library cuts a text there before it does anything else,
-    so each part is encoded as if alone.  Words with the signs of the mark go
-    one by one.
+    so each part is encoded as if alone.  If a word has a sign of the mark that
+    is no letter, its batch goes word by word.
     """
     number = tokenizer.token_to_id(mark) if mark else None
     signs = {c for c in mark or "" if not c.isalnum()}
 
-    def alone(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode(words: list[bytes]) -> list[list[int]]:
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [i for i, t in enumerate(texts) if number is not None and not any(c in t for c in signs)]
-        lists: list[list[int]] = [[]] * len(texts)
-        if plain:
-            ids = np.array(alone([mark.join(texts[i] for i in plain)])[0])
-            cuts = np.flatnonzero(ids == number)
-            parts = np.split(ids, cuts)
-            for i, part in zip(plain, parts, strict=True):
-                lists[i] = part.tolist() if part is parts[0] else part[1:].tolist()
-        done = set(plain)
-        rest = [i for i in range(len(texts)) if i not in done]
-        for i, ids in zip(rest, alone([texts[i] for i in rest]), strict=True):
-            lists[i] = ids
-        return lists
+        if number is None or any(c in "".join(texts) for c in signs):
+            return listed([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ids = np.array(tokenizer.encode_batch_fast([mark.join(texts)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        cuts = np.flatnonzero(ids == number)
+        return ids[ids != number], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
 
     return encode

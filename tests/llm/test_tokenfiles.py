@@ -41,9 +41,9 @@ def test_words_one_by_one_are_the_text():
     signs = "aAzé'sß́̊Σςͅİıǅ 　 ‍\n\t.,-<|>19²中ーがか゚\U0001f600ำเ각"
     made = ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(1500)] + ODD
     for mark in (MARK, None):
-        memory = Memory(word_encoder(tokenizer, mark), limit=50)
+        memory = Memory([word_encoder(tokenizer, mark)], limit=50)
         for text in made:
-            ids, sizes = memory.ids(text.encode().split())
+            ((ids, sizes),) = memory.ids(text.encode().split())
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
             assert sizes.sum() == len(ids)
 
