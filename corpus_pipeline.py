@@ -24,7 +24,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five-word shingles, Jaccard 0.8)."""
+    """Keep one document of each group of near-duplicates (SimHash of three-word shingles, at most 3 bits apart)."""
     return one_of_each(docs)
 
 

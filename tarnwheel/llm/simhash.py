@@ -6,7 +6,6 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +14,7 @@ from pyspark.sql import types as T
 from tarnwheel.session import reliable
 
 from .components import components
-from .passages import shingles_of
-from .substrings import MIX, chunks, mixed
-from .textpass import alnum_words, map_texts, space_words, stored, with_row
+from .textpass import map_texts, space_words, stored, with_row
 
 SEED = 42
 #: The ring: four segments of 16 bits; at most three bits may differ.
@@ -224,194 +221,28 @@ def with_components(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.join(class_components(fingerprints), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Independent fingerprints of the set of words, and shingles in a sketch, for ``one_of_each``.
-FAMILIES, SKETCH = 10, 384
-CHUNK = 2 << 20
-#: Texts of a large group that one task compares with all that are not linked yet.
-BLOCK = 512
-
-
-def word_fingerprints(words: set[bytes]) -> list[int]:
-    """One fingerprint of a set of words per family; the families are different mixes of one hash of each word."""
-    if not words:
-        return [0] * FAMILIES
-    base = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64)
-    salts = np.arange(1, FAMILIES + 1, dtype=np.uint64) * MIX
-    mixes = mixed([(base[:, None] ^ salts[None, :]).ravel()]).reshape(len(base), FAMILIES)
-    bits = np.unpackbits(mixes.view(np.uint8), axis=1, bitorder="little")
-    ones = np.add.reduce(bits, axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(words), bitorder="little").view("<i8").tolist()
-
-
-def describe(batches):
-    """``row, doc_id, id, fps, sketch``: word fingerprints, and the least hashes of the set of five-word shingles."""
-    for rows in chunks(batches, CHUNK):
-        texts = [r["text"] for r in rows]
-        hashes, text, _ = shingles_of(texts)
-        begin = np.searchsorted(text, np.arange(len(rows) + 1))
-        fps, sketches = [], []
-        for i, t in enumerate(texts):
-            words = alnum_words(t)
-            fps.append(word_fingerprints(set(words)))
-            own = hashes[begin[i] : begin[i + 1]]
-            if len(words) < 5:  # the text itself is its shingle
-                own = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
-            sketches.append(np.unique((own[own > 0] >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r["row"] for r in rows], type=pa.int64()),
-                pa.array([r["doc_id"] for r in rows], type=pa.int64()),
-                pa.array([r["id"] for r in rows], type=pa.int64()),
-                pa.array(fps, type=pa.list_(pa.int64())),
-                pa.array(sketches, type=pa.binary()),
-            ],
-            names=["row", "doc_id", "id", "fps", "sketch"],
-        )
-
-
-def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
-    """Whether two sketches show a Jaccard similarity of at least ``least``.
-
-    The least hashes of the union of both sets are a sample of it; with fewer
-    than ``SKETCH`` shingles it is the union.
-    """
-    union = np.union1d(x, y)[:SKETCH]
-    both = np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)
-    return both.sum() >= least * len(union)
-
-
-def similar(least: float):
-    """Keeps the pairs whose sketches are alike."""
-
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for i, row in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if alike(*(np.frombuffer(b, dtype=np.uint32) for b in row), least):
-                    kept.append(i)
-            yield batch.select([0, 1]).take(pa.array(kept, type=pa.int64()))
-
-    return run
-
-
-def similar_in_block(least: float):
-    """``u, v``: links of alike texts of different components, between the probes and all texts of a block.
-
-    Texts that a link has joined are not compared again, so that links are
-    fewer than components.  Alike sketches share ``least`` of the longer one,
-    which an index from hash to text counts for one probe at a time.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        targets = frame[~frame["probe"]]
-        sketches = [np.frombuffer(b, dtype=np.uint32) for b in targets["sketch"]]
-        ids, labels = targets["id"].to_numpy(np.int64), targets["label"].to_numpy(np.int64).copy()
-        sizes = np.array([len(x) for x in sketches], dtype=np.int64)
-        found = []
-        if not len(ids):
-            return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-        hashes, owners = np.concatenate(sketches), np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(hashes, kind="stable")
-        hashes, owners = hashes[order], owners[order]
-        probes = frame[frame["probe"]]
-        joined: dict[int, int] = {}
-        for one, label, sketch in zip(probes["id"].tolist(), probes["label"].tolist(), probes["sketch"], strict=True):
-            while label in joined:
-                label = joined[label]
-            x = np.frombuffer(sketch, dtype=np.uint32)
-            low, high = np.searchsorted(hashes, x), np.searchsorted(hashes, x, "right")
-            count = high - low
-            at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
-            shared = np.bincount(owners[at], minlength=len(ids))
-            for i in np.flatnonzero(shared >= least * np.maximum(sizes, len(x))).tolist():
-                if labels[i] != label and alike(x, sketches[i], least):
-                    found.append((one, int(ids[i])))
-                    joined[int(labels[i])] = label
-                    labels[labels == labels[i]] = label
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-
-    return run
-
-
-def links_of_large_groups(large: DataFrame, linked: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """``u, v``: links that join the components ``linked`` (``u, v``) within the groups ``large`` (``key, id``).
-
-    Two texts of a group are in one component, or they are compared.  Those of
-    its largest component are no probes.  A group is cut into blocks; its probes
-    are compared with each block.
-    """
-    tops = linked.select(F.col("u").alias("id"), F.col("v").alias("top"))
-    large = reliable(large.join(tops, "id", "left").select("key", "id", F.coalesce("top", "id").alias("label")))
-    parts = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("label", "n").alias("main"), F.count("n").alias("parts"))
-    groups = reliable(groups.where("parts > 1").select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    members = large.join(groups, "key")
-    targets = members.withColumn("probe", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    probes = members.where("label != main").withColumn("probe", F.lit(True))
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = targets.unionByName(probes).select("key", "block", "id", "label", "probe")
-    return dealt.join(sketches.select("id", "sketch"), "id").groupBy("key", "block").applyInPandas(
-        similar_in_block(similarity), "u long, v long"
-    )
-
-
-def one_of_each(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8
-) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest id stays (null last).
 
-    Near-duplicates have a Jaccard similarity of at least 0.8 on their sets of
-    five-word shingles.  At that similarity some 3 in 100 words differ, which is
-    too much for one fingerprint at a distance of 3 bits; so candidates are
-    texts of which, in one of ``FAMILIES`` independent families, fingerprints of
-    the set of words are that near.  Each pair of candidates is compared by
-    sketches of its shingles, exactly up to ``SKETCH`` of them.  Texts that share
-    a key with more than ``PAIRED`` are all candidates of each other: they are
-    compared with the first one, and then with all of other components.
-
-    Equal texts are near-duplicates, as are empty and null ones.  Of rows with
-    equal ids and texts one stays.  Ids are whole numbers.
+    Near-duplicates are those of ``with_components``: texts whose fingerprints
+    (three-word shingles) differ in at most 3 bits, and what such links reach.  Texts
+    without words have fingerprint zero and are one class.  Of rows with equal ids in
+    one component one stays, which one is arbitrary.  Ids are whole numbers; all
+    columns of the rows that stay are kept, an empty table stays empty.
     """
     rows, row = with_row(docs, "rows")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    made = rows.select(
-        F.col(row).alias("row"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(text).alias("id"),
-        text.cast("binary").alias("text"),
-    ).mapInArrow(describe, "row long, doc_id long, id long, fps array<long>, sketch binary")
-    made = stored(made, "sketches")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    texts = reliable(made.groupBy("id").agg(F.min(place).alias("first")))
-    owners = texts.select(F.col("first.row").alias("row"))
-    sketches = made.join(owners, "row", "left_semi")
-    fps = sketches.select("id", F.posexplode("fps").alias("family", "fp"))
-    keyed = fps.select("id", "fp", F.posexplode(keys_of(F.col("fp"), F.col("family"))).alias("place", "key"))
-    # Groups with the same members are one group.
-    members = F.sum(F.xxhash64("id").cast("decimal(20,0)"))
-    counts = reliable(
-        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), members.alias("members")).where("n > 1")
-    )
-    few = keyed.join(counts.where(F.col("n") <= PAIRED).select("key"), "key")
-    few = reliable(few.select("id", "fp", "key", (F.col("place") / 2).cast("int").alias("start")))
-    left = few.select("key", "start", F.col("id").alias("u"), F.col("fp").alias("x"))
-    right = few.select("key", F.col("id").alias("v"), F.col("fp").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    near = (F.col("u") < F.col("v")) & chain_holds(x, y, F.col("start")) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS)
-    pairs = left.join(right, "key").where(near).select("u", "v")
-    groups = counts.where(F.col("n") > PAIRED).groupBy("n", "members").agg(F.min("key").alias("key"), F.min("least").alias("least"))
-    large = reliable(keyed.join(reliable(groups.select("key", "least")), "key").select("key", "id", "least"))
-    pairs = pairs.unionByName(large.where("id > least").select(F.col("least").alias("u"), F.col("id").alias("v"))).distinct()
-    compared = (
-        pairs.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("x")), "u")
-        .join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("y")), "v")
-        .select("u", "v", "x", "y")
-        .mapInArrow(similar(similarity), "u long, v long")
+    prints = stored(
+        map_texts(
+            rows,
+            {"doc_id": F.col(id_col).cast("long"), "row": row},
+            text_col,
+            lambda: fingerprint_or_zero,
+            T.StructType([T.StructField("fp", T.LongType())]),
+        ),
+        "fingerprints",
     )
-    tops = components(compared)
-    if not large.isEmpty():
-        more = links_of_large_groups(large.select("key", "id"), tops, sketches, similarity)
-        tops = components(tops.unionByName(more))
-    tops = tops.select(F.col("u").alias("id"), F.col("v").alias("top"))
-    chosen = texts.join(tops, "id", "left").groupBy(F.coalesce("top", "id")).agg(F.min("first").alias("first"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    firsts = reliable(prints.groupBy("fp").agg(F.min(place).alias("first")))
+    tops = class_components(prints).select("fp", "top")
+    chosen = firsts.join(tops, "fp").groupBy("top").agg(F.min("first").alias("first"))
     return rows.join(chosen.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)
