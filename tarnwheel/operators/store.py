@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwheel.session import reliable
+
 from .aggregates import arg_first
 from .joins import join_suffix
 from .windows import ordinal_rank
@@ -33,7 +35,7 @@ def leaderboard(submissions: DataFrame, teams: DataFrame) -> DataFrame:
         left_on="team_id",
         right_on="id",
     ).withColumn("__lost", -F.col("final_score"))
-    ranked = ordinal_rank(named, [], ["__lost", "finished_at", "submission_id"], "rank", sizes=teams)
+    ranked = ordinal_rank(reliable(named), [], ["__lost", "finished_at", "submission_id"], "rank")
     return ranked.select(
         "rank", "team_id", "team_name", "team_slug", "submission_id", "final_score", "finished_at"
     )

@@ -1,10 +1,4 @@
-"""Windowed columns that stay correct and distributed when one key is hot.
-
-Without a hot key every function here is the plain window expression.  With one,
-the key is cut into ranges (see ``skew``) and the result is put together exactly.
-Hot keys are found by counting the keys of the input, or of ``sizes`` where that
-is given: a table that is cheaper to count and has no fewer rows of any key.
-"""
+"""Windowed columns by prefix scans (see ``scan``): one plan for hot keys, no key at all, and small inputs."""
 
 from __future__ import annotations
 
@@ -14,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwheel.functions import ratio, round_dp
+from tarnwheel.session import reliable
 
-from .skew import CHUNK, WHOLE, Chunked, hot_keys, order_chunks, rows_per_task, same_keys
+from .scan import RANGE, TIE, ranged, same_keys
 
-LOCAL = "__local"
-POSITION = "__position"
+OFFSET = "__offset"
 
 
 def _cumulative(
@@ -26,25 +20,14 @@ def _cumulative(
     keys: Sequence[str],
     order: Sequence[str],
     name: str,
-    local: Column,
-    per_chunk: Column,
+    total: Column,
     descending: bool = False,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    chunks = order_chunks(df, keys, order, descending=descending, sizes=sizes)
-    by = [F.col(c).desc() for c in order] if descending else [F.col(c) for c in order]
-    frame = (
-        Window.partitionBy(*chunks.partition).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    columns = [*df.columns, name]
-    if not chunks.split:
-        return chunks.rows.withColumn(name, local.over(frame)).select(*columns)
-    shifted = chunks.with_offsets(per_chunk, F.sum("__part"), "__offset", 0)
-    return (
-        shifted.withColumn(LOCAL, local.over(frame))
-        .withColumn(name, F.coalesce(F.col(LOCAL) + F.col("__offset"), F.col(LOCAL)))
-        .select(*columns)
-    )
+    """Add ``name``: the running ``total``, an aggregate that adds up over parts."""
+    cut = ranged(df, keys, order, descending=descending)
+    frame = Window.partitionBy(*cut.partition).orderBy(*cut.by()).rowsBetween(Window.unboundedPreceding, 0)
+    held = cut.with_offset(total, OFFSET).withColumn(name, total.over(frame) + F.col(OFFSET))
+    return held.select(*df.columns, name)
 
 
 def running_sum(
@@ -53,7 +36,6 @@ def running_sum(
     keys: Sequence[str],
     order: Sequence[str],
     name: str,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from the first row of the key to this one (rows, not peers).
 
@@ -61,13 +43,13 @@ def running_sum(
     """
     held = df.withColumn("__value", value)
     total = F.sum(F.coalesce(F.col("__value"), F.lit(0)))
-    summed = _cumulative(held, keys, order, name, total, total, sizes=sizes)
+    summed = _cumulative(held, keys, order, name, total)
     return summed.withColumn(name, F.when(F.col("__value").isNotNull(), F.col(name))).drop("__value")
 
 
 def running_count(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Number of non-null ``value`` so far."""
-    return _cumulative(df, keys, order, name, F.count(value), F.count(value))
+    return _cumulative(df, keys, order, name, F.count(value))
 
 
 def ordinal_rank(
@@ -77,45 +59,39 @@ def ordinal_rank(
     name: str,
     *,
     descending: bool = False,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """1, 2, 3 … in the given order, which must be unique inside a key."""
-    one = F.count(F.lit(1))
-    return _cumulative(df, keys, order, name, one, one, descending, sizes)
+    """1, 2, 3 … in the given order; equal rows in the order of a hash of their columns."""
+    return _cumulative(df, keys, order, name, F.count(F.lit(1)), descending)
 
 
-def dense_rank_desc(
-    df: DataFrame, value: str, keys: Sequence[str], name: str, values: DataFrame | None = None
-) -> DataFrame:
+def dense_rank_desc(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
     """Dense rank, greatest first; a null value has a null rank.
 
-    ``values`` may name a smaller table with the same ``keys`` and values.
+    Earlier ranges of a key count their different values; one that goes on in
+    the next range is the same value.
     """
-    keys = list(keys)
-    if keys:
-        hot = hot_keys(df, keys)
-        if hot is None:
-            window = Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last())
-            rank = F.when(F.col(value).isNotNull(), F.dense_rank().over(window).cast("long"))
-            return df.withColumn(name, rank)
-    # The rank of a value is its position among the distinct values of the key.
-    source = df if values is None else values
-    held = source.where(F.col(value).isNotNull()).select(*keys, value)
-    ranked = ordinal_rank(held.distinct(), keys, [value], name, descending=True, sizes=held)
-    parts = [*keys, value]
-    ranked = ranked.select(*[F.col(c).alias(f"__r_{c}") for c in parts], name)
-    joined = df.join(ranked, same_keys(parts, [f"__r_{c}" for c in parts]), "left")
-    return joined.select(*df.columns, name)
-
-
-def group_totals(
-    df: DataFrame, keys: Sequence[str], sizes: DataFrame | None = None, **aggregates: Column
-) -> DataFrame:
+    cut = ranged(df, keys, [value], descending=True)
+    parts = (
+        cut.of_cut_keys()
+        .where(F.col(value).isNotNull())
+        .groupBy(*cut.partition)
+        .agg(F.countDistinct(value).alias("__n"), F.max(value).alias("__first"), F.min(value).alias("__last"))
+    )
+    goes_on = (F.lag("__last").over(cut.earlier()) == F.col("__first")).cast("int")
+    parts = parts.withColumn("__same", F.coalesce(goes_on, F.lit(0)))
+    before = cut.earlier().rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.sum(F.col("__n") - F.col("__same")).over(before), F.lit(0))
+    held = cut.with_partials(parts.withColumn(OFFSET, new - F.col("__same")), OFFSET, 0)
+    window = Window.partitionBy(*cut.partition).orderBy(F.col(value).desc_nulls_last())
+    rank = F.dense_rank().over(window).cast("long") + F.col(OFFSET)
+    return held.withColumn(name, F.when(F.col(value).isNotNull(), rank)).select(*df.columns, name)
+
+
+def group_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Add aggregates of the whole key to each of its rows.
 
     The aggregates are combined map-side, one row per key, and joined back
     null-safely; a key with very many rows is a skewed join, which AQE splits.
-    ``sizes`` is not needed any more and is accepted for older callers.
     """
     keys = list(keys)
     totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
@@ -126,28 +102,33 @@ def group_totals(
 
 
 def _with_neighbours(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int, build
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int, build: Callable
 ) -> DataFrame:
     """Apply ``build(window)`` where every row sees ``back`` rows before it.
 
-    Hot keys are cut into blocks of consecutive positions, and the last rows of
-    a block are copied to the next one.
+    A range of a key that is cut gets copies of the last ``back`` rows before
+    it: each range hands on its own last rows, and takes the last ones of what
+    the ``back`` ranges before it hand on.
     """
-    keys = list(keys)
-    added = build(Window.partitionBy(*keys).orderBy(*order))
-    if hot_keys(df, keys) is None:
-        return df.withColumns(added)
-    size = max(rows_per_task(df), back + 1)
-    numbered = ordinal_rank(df, keys, order, POSITION)
-    block = F.call_function("div", F.col(POSITION) - 1, F.lit(size))
-    copies = F.when(
-        (F.col(POSITION) - 1) % size >= size - back, F.array(block, block + 1)
-    ).otherwise(F.array(block))
-    spread = numbered.withColumn("__home", block).withColumn("__block", F.explode(copies))
-    window = Window.partitionBy(*keys, "__block").orderBy(POSITION)
+    cut = ranged(df, keys, order)
+    held = cut.rows.columns
+    from_end = Window.partitionBy(*cut.partition).orderBy(*[F.col(c).desc() for c in (*order, TIE)])
+    lasts = cut.of_cut_keys().withColumn("__from_end", F.row_number().over(from_end)).where(F.col("__from_end") <= back)
+    row = F.struct(F.col("__from_end"), F.struct(*held).alias("row"))
+    handed = lasts.groupBy(*cut.partition).agg(F.sort_array(F.collect_list(row), asc=False).alias("__rows"))
+    before = cut.earlier().rowsBetween(-back, -1)
+    handed = handed.withColumn("__rows", F.flatten(F.collect_list("__rows").over(before)))
+    copies = handed.select(
+        F.col(RANGE).alias("__to"),
+        F.explode(F.slice("__rows", F.greatest(F.size("__rows") - back, F.lit(0)) + 1, F.lit(back))).alias("__row"),
+    ).select("__row.row.*", "__to")
+    copies = copies.withColumn(RANGE, F.col("__to")).drop("__to").withColumn("__copy", F.lit(True))
+    added = build(Window.partitionBy(*cut.partition).orderBy(*cut.by()))
     return (
-        spread.withColumns(build(window))
-        .where(F.col("__block") == F.col("__home"))
+        cut.rows.withColumn("__copy", F.lit(False))
+        .unionByName(copies)
+        .withColumns(added)
+        .where(~F.col("__copy"))
         .select(*df.columns, *added)
     )
 
@@ -183,16 +164,13 @@ def rolling_mean(
 
 
 def growth_pct(df: DataFrame, value: str, order: str, name: str, places: int = 1) -> DataFrame:
-    """Growth in percent over the previous row of a series."""
-    held = previous_value(df, value, [], [order], "__before")
+    """Growth in percent over the previous row of a series, which is written once, as a scan reads it several times."""
+    held = previous_value(reliable(df), value, [], [order], "__before")
     growth = ratio(F.col(value) - F.col("__before"), F.col("__before")) * 100
     return held.withColumn(name, round_dp(growth, places)).drop("__before")
 
 
 __all__ = [
-    "CHUNK",
-    "WHOLE",
-    "Chunked",
     "dense_rank_desc",
     "group_totals",
     "growth_pct",

@@ -496,10 +496,10 @@ def pip13(t):
 def opt21(t):
     order = ["payment_date", "payment_id"]
     summed = running_sum(t("sk_payments"), money("amount"), ["customer_id"], order, "running_total")
-    held = group_totals(summed, ["customer_id"], sizes=t("sk_payments"), customer_total=F.sum(money("amount")))
     totals = t("sk_payments").groupBy("customer_id").agg(F.sum(money("amount")).alias("customer_total"))
-    ranked = dense_rank_desc(held, "customer_total", [], "customer_rank", values=totals)
-    return _dbl(ranked, "running_total", "customer_total")
+    ranked = dense_rank_desc(totals, "customer_total", [], "customer_rank").withColumnRenamed("customer_id", "customer")
+    held = summed.join(ranked, F.col("customer_id").eqNullSafe(F.col("customer"))).drop("customer")
+    return _dbl(held, "running_total", "customer_total")
 
 
 def questions() -> list[str]:

@@ -25,6 +25,7 @@ from tarnwheel.operators import (
     running_sum,
     top_k,
 )
+from tarnwheel.session import reliable
 
 from .catalogue import (
     SQL_REVENUE,
@@ -312,10 +313,10 @@ def opt21(t):
     summed = running_sum(
         orders, money("o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "running_total"
     )
-    held = group_totals(summed, ["o_custkey"], sizes=orders, customer_total=F.sum(money("o_totalprice")))
-    totals = orders.groupBy("o_custkey").agg(F.sum(money("o_totalprice")).alias("customer_total"))
-    ranked = dense_rank_desc(held, "customer_total", [], "customer_rank", values=totals)
-    return ranked.withColumns(
+    totals = reliable(orders.groupBy("o_custkey").agg(F.sum(money("o_totalprice")).alias("customer_total")))
+    ranked = dense_rank_desc(totals, "customer_total", [], "customer_rank").withColumnRenamed("o_custkey", "customer")
+    held = summed.join(ranked, F.col("o_custkey").eqNullSafe(F.col("customer"))).drop("customer")
+    return held.withColumns(
         {
             "o_orderdate": F.to_date("o_orderdate").cast("string"),
             "running_total": amount("running_total").cast("double"),

@@ -91,7 +91,7 @@ def test_share_and_pivot(spark):
     assert rows(wide) == [("a", 1.0, 3.0), ("b", 5.0, 0.0)]
 
 
-# Windows: each one against plain Python, with and without hot keys
+# Windows: each one against plain Python, with few and with many ranges
 
 
 def events(seed, n=400, hot=0.34):
@@ -115,12 +115,13 @@ def grouped(data):
     return groups
 
 
-@pytest.fixture(params=["whole", "split"])
+@pytest.fixture(params=["1", "40"])
 def mode(request, spark):
-    if request.param == "split":
-        spark.conf.set("tarnwheel.window.rowsPerTask", "5")
+    """Numbers of ranges: none cut, and so many that a range has about ten rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
     yield request.param
-    spark.conf.unset("tarnwheel.window.rowsPerTask")
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @pytest.mark.parametrize("hot", [0.34, 1.0])

@@ -46,9 +46,9 @@ def folder(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def session(spark):
-    """Small tasks, so that the hot keys have to be split; no broadcast by estimate."""
+    """Many ranges, so that the hot keys are cut; no broadcast by estimate."""
     changed = {
-        "tarnwheel.window.rowsPerTask": "100",
+        "spark.sql.shuffle.partitions": "20",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
