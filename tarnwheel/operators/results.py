@@ -37,6 +37,15 @@ def latest_attempt(df: DataFrame, key: str, attempt: str = "attempt") -> DataFra
     return held.where(F.col(attempt) == F.col("__latest")).drop("__latest")
 
 
+def status_of(done: Column, failed: Column) -> Column:
+    """Status of a submission from the order of its last ``done`` and its last ``error`` record."""
+    return (
+        F.when(done.isNull() & failed.isNull(), F.lit("running"))
+        .when(failed.isNull() | (done > failed), F.lit("done"))
+        .otherwise(F.lit("failed"))
+    )
+
+
 def status_aggregates(kind: Column, order: Column, message: Column) -> tuple[Column, Column]:
     """Aggregates for the status of a submission and its error text.
 
@@ -45,11 +54,7 @@ def status_aggregates(kind: Column, order: Column, message: Column) -> tuple[Col
     """
     done = F.max(F.when(kind == "done", order))
     failed = F.max(F.when(kind == "error", order))
-    status = (
-        F.when(done.isNull() & failed.isNull(), F.lit("running"))
-        .when(failed.isNull() | (done > failed), F.lit("done"))
-        .otherwise(F.lit("failed"))
-    )
+    status = status_of(done, failed)
     text = F.substring(F.coalesce(message, F.lit("Backend error")), 1, 2000)
     last = F.max_by(text, F.when(kind == "error", order))
     return status, F.when(status == "failed", last)

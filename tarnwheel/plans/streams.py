@@ -22,7 +22,9 @@ from tarnwheel.streaming import (
     stream_session,
 )
 from tarnwheel.streaming.jobs import answers_of
+from tarnwheel.streaming.state import state_statuses, state_stream, state_summary, state_tables
 
+from . import derived as d
 from .catalogue import query, sql_round
 
 KINDS = {"click": "question_result", "view": "question_result", "signup": "status", "purchase": "done"}
@@ -147,20 +149,24 @@ def x03(t):
     return statuses(parse_records(event_records(t), ANSWER))
 
 
-@query(
-    "x07_final_rows",
-    f"""WITH {SQL_EVENTS}, scored AS (SELECT *, CAST(exact_matches AS DOUBLE) / completed AS accuracy FROM summary)
+SQL_FINAL_ROWS = f"""WITH {SQL_EVENTS}, scored AS (SELECT *, CAST(exact_matches AS DOUBLE) / completed AS accuracy FROM summary)
         SELECT submission_id, completed, exact_matches, {sql_round("accuracy", 6)} AS accuracy,
           {sql_round('''accuracy * 70 + 30 * (0.6::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE,
             1 - (avg_generation_seconds + avg_execution_seconds - 2) / 58))
             + 0.4::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE,
             1 - (greatest(peak_ram_mb, peak_gpu_mb) - 4096) / 36864)))''', 4)} AS composite_score
-        FROM scored JOIN state USING (submission_id) WHERE status = 'done'""",
-)
+        FROM scored JOIN state USING (submission_id) WHERE status = 'done'"""
+
+
+@query("x07_final_rows", SQL_FINAL_ROWS)
 def x07(t):
     parsed = parse_records(event_records(t), ANSWER)
     answers = first_wins(answers_of(parsed), ["submission_id", "question_id"], ["seq"])
     rows = final_rows(summarise(answers, "submission_id"), statuses(parsed))
+    return _scored(rows)
+
+
+def _scored(rows):
     return rows.select(
         "submission_id",
         "completed",
@@ -168,3 +174,60 @@ def x07(t):
         round_dp("accuracy", 6).alias("accuracy"),
         round_dp("composite_score", 4).alias("composite_score"),
     )
+
+
+# The same results from a state that a stream keeps, in several batches -----------
+
+
+def _kept_state(records, spark):
+    """Write the records to four files, take them in two batches, and read the state that they leave."""
+    folder = scratch_path(spark, "records")
+    write_records(records.repartition(4), f"{folder}/in")
+    state_stream(stream_session(spark), f"{folder}/in", f"{folder}/state", f"{folder}/offsets", 2).awaitTermination()
+    return state_tables(spark, f"{folder}/state")
+
+
+@query("x03_submission_status_streamed", f"WITH {SQL_EVENTS} SELECT * FROM state")
+def x03_streamed(t):
+    return state_statuses(_kept_state(event_records(t), t.spark)[1])
+
+
+def attempt_records(t):
+    """The answers of all attempts as records; a question may be answered more than once in an attempt."""
+    rows = d.attempts(t)
+    generated = F.struct(
+        F.col("generation_seconds").alias("generation_duration_seconds"), "peak_ram_mb", "peak_gpu_mb"
+    )
+    executed = F.struct("success", "exact_match", F.col("execution_seconds").alias("execution_duration_seconds"))
+    payload = F.struct(
+        "submission_id",
+        F.col("l_partkey").alias("seq"),
+        "attempt",
+        "question_id",
+        generated.alias("generated_answer"),
+        executed.alias("executed_answer"),
+    )
+    return rows.select(format_record(F.lit("question_result"), payload).alias("value"))
+
+
+@query(
+    "x06_latest_attempt_streamed",
+    f"""WITH {d.SQL_ATTEMPTS}
+        SELECT submission_id, attempt, question_id, l_partkey AS seq, coalesce(success AND exact_match, false) AS correct,
+          generation_seconds, peak_ram_mb
+        FROM (SELECT * FROM attempts QUALIFY attempt = max(attempt) OVER (PARTITION BY submission_id))
+        QUALIFY row_number() OVER (PARTITION BY submission_id, question_id
+          ORDER BY l_partkey, success NULLS FIRST, exact_match NULLS FIRST, generation_seconds NULLS FIRST,
+            execution_seconds NULLS FIRST, peak_ram_mb NULLS FIRST) = 1""",
+)
+def x06_streamed(t):
+    answers, _ = _kept_state(attempt_records(t), t.spark)
+    correct = F.coalesce(F.col("first.success") & F.col("first.exact_match"), F.lit(False))
+    first = [F.col(f"first.{c}").alias(c) for c in ("seq", "generation_seconds", "peak_ram_mb")]
+    return answers.select("submission_id", "attempt", "question_id", correct.alias("correct"), *first)
+
+
+@query("x07_final_rows_streamed", SQL_FINAL_ROWS)
+def x07_streamed(t):
+    answers, submissions = _kept_state(event_records(t), t.spark)
+    return _scored(final_rows(state_summary(answers, submissions), state_statuses(submissions)))
