@@ -69,23 +69,37 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 def key_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Per table and unique key: key values on several rows, the rows too many, and rows without a required value."""
+    """Per table and unique key: key values on several rows, the rows too many, and rows without a required value.
+
+    One pass per table: all its keys are grouping sets of one aggregate.  A table
+    without rows has zeros; other columns are not read.
+    """
     out = None
     for name, df in tables.items():
-        required = [f.name for f in store_schema(name) if not f.nullable]
+        keys = KEYS[name]
+        columns = sorted({c for key in keys for c in key})
         missing = F.lit(False)
-        for column in required:
-            missing = missing | F.col(column).isNull()
-        for key in KEYS[name]:
-            per_key = df.groupBy(*key).agg(
-                F.count(F.lit(1)).alias("n"), F.count(F.when(missing, F.lit(1))).alias("incomplete")
-            )
-            one = per_key.agg(
-                F.lit(name).alias("table_name"),
-                F.lit(",".join(key)).alias("key_columns"),
-                F.count(F.when(F.col("n") > 1, F.lit(1))).alias("repeated_keys"),
-                F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"),
-                F.coalesce(F.sum("incomplete"), F.lit(0)).alias("incomplete_rows"),
+        for field in store_schema(name):
+            missing = missing | F.col(field.name).isNull() if not field.nullable else missing
+        per_value = df.groupingSets([[F.col(c) for c in key] for key in keys], *columns).agg(
+            F.grouping_id().alias("__set"),
+            F.count(F.lit(1)).alias("n"),
+            F.count(F.when(missing, F.lit(1))).alias("incomplete"),
+        )
+        # The number of a set has a bit for each column that is not in it, the first column highest.
+        found = []
+        for key in keys:
+            number = int("".join("0" if c in key else "1" for c in columns), 2)
+            of_key = F.col("__set") == number
+            found.append(
+                F.struct(
+                    F.lit(name).alias("table_name"),
+                    F.lit(",".join(key)).alias("key_columns"),
+                    F.count(F.when(of_key & (F.col("n") > 1), F.lit(1))).alias("repeated_keys"),
+                    F.coalesce(F.sum(F.when(of_key, F.col("n") - 1)), F.lit(0)).alias("surplus_rows"),
+                    F.coalesce(F.sum(F.when(of_key, F.col("incomplete"))), F.lit(0)).alias("incomplete_rows"),
+                )
             )
-            out = one if out is None else out.unionByName(one)
+        one = per_value.agg(F.array(*found).alias("found")).select(F.inline("found"))
+        out = one if out is None else out.unionByName(one)
     return out
