@@ -14,7 +14,7 @@ from .numeric import (
     sum_or_zero,
     units,
 )
-from .temporal import day_gap, in_year, iso_date, iso_dates, iso_month, iso_year, whole_days
+from .temporal import day_gap, in_year, iso_date, iso_dates, iso_month, iso_year, ntz, to_datetime, whole_days
 from .text import digest16, last_json_line, slug
 
 __all__ = [
@@ -31,6 +31,7 @@ __all__ = [
     "mean_dp",
     "money",
     "n_unique",
+    "ntz",
     "power_floor",
     "ratio",
     "revenue",
@@ -38,6 +39,7 @@ __all__ = [
     "slug",
     "sum_dp",
     "sum_or_zero",
+    "to_datetime",
     "units",
     "whole_days",
 ]

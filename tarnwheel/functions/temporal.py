@@ -37,6 +37,11 @@ def in_year(c: ColumnOrName, year: int) -> Column:
     return (_col(c) >= ntz(f"{year}-01-01")) & (_col(c) < ntz(f"{year + 1}-01-01"))
 
 
+def to_datetime(c: ColumnOrName) -> Column:
+    """A text ``yyyy-MM-dd[ HH:mm:ss[.ffffff]]`` as an instant without a zone; null if it is none."""
+    return _col(c).try_cast("timestamp_ntz")
+
+
 def day_gap(later: ColumnOrName, earlier: ColumnOrName) -> Column:
     """Days between two dates."""
     return F.datediff(_col(later), _col(earlier)).cast("long")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,18 +33,23 @@ def require_table(result: object) -> DataFrame:
     return result
 
 
-def _cell(field: T.StructField) -> Column:
-    cell = F.col(f"`{field.name}`")
+def _cell(field: T.StructField, name: str | None = None) -> Column:
+    cell = F.col(f"`{name or field.name}`")
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         cell = cell + F.lit(0.0)  # -0.0 and 0.0 are one value
     return cell
 
 
+def json_row(names: Sequence[str], fields: Sequence[T.StructField]) -> Column:
+    """A JSON object of the columns ``names`` under the names of ``fields``; nulls are spelled out, so they differ from gaps."""
+    cells = [_cell(f, n).alias(f"{i}_{f.name}") for i, (n, f) in enumerate(zip(names, fields, strict=True))]
+    return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+
+
 def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """One JSON object per row; nulls are spelled out, so they differ from gaps."""
+    """One JSON object per row."""
     chosen = [f for f in df.schema if columns is None or f.name in columns]
-    cells = [_cell(f).alias(f"{i}_{f.name}") for i, f in enumerate(chosen)]
-    return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+    return json_row([f.name for f in chosen], chosen)
 
 
 def row_number_of(text: Column) -> Column:
@@ -84,12 +89,15 @@ def fingerprint_by(results: DataFrame, key: str) -> DataFrame:
     )
 
 
-def fingerprint_all(results: Mapping[str, DataFrame]) -> DataFrame:
-    """Fingerprints of named results, one row each."""
-    rows = [
-        fingerprint(df).select(F.lit(name).alias("question_id"), F.lit(True).alias("ok"), "columns", "shape", "hash")
-        for name, df in results.items()
-    ]
+def fingerprint_all(results: Mapping[str, object]) -> DataFrame:
+    """Runs of named results, one row each; a result that is no table is a failed run."""
+    rows = []
+    for name, result in results.items():
+        try:
+            payload, ok = fingerprint(require_table(result)), True
+        except TypeError:
+            payload, ok = SparkSession.active().createDataFrame([(None, None, None)], PAYLOAD), False
+        rows.append(payload.select(F.lit(name).alias("question_id"), F.lit(ok).alias("ok"), *PAYLOAD.names))
     out = rows[0]
     for row in rows[1:]:
         out = out.unionByName(row)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwheel.functions import digest16, iso_date, last_json_line, money, slug, sum_dp
+from tarnwheel.functions import digest16, iso_date, last_json_line, money, ntz, slug, sum_dp, to_datetime, whole_days
 from tarnwheel.operators import running_sum
+from tarnwheel.operators.canonical import MODULI, canonical_positions, ordered_digest
 from tarnwheel.operators.closure import tree_totals
 from tarnwheel.operators.fingerprint import (
     compare_runs,
     csv_lines,
     fingerprint,
+    fingerprint_all,
     fingerprint_by,
     outcome,
     row_differences,
@@ -29,8 +31,9 @@ from tarnwheel.operators.store import (
     visible_submissions,
 )
 from tarnwheel.session import scratch_path
+from tarnwheel.sources.corpus import corpus_path, inline_table, load_questions, write_corpus
 from tarnwheel.sources.store import key_violations
-from tarnwheel.sources.tables import open_registry, table_summary
+from tarnwheel.sources.tables import Tables, footer_session, open_registry, table_summary
 from tarnwheel.streaming.progress import progress_records
 
 from . import derived as d
@@ -116,7 +119,91 @@ _SUMMARY = " UNION ALL ".join(
                CAST(sum(table_count) AS BIGINT) FROM counted""",
 )
 def s14(t):
-    return table_summary({name: getattr(t, name) for name in TABLE_NAMES})
+    """All counts from the footers of the files, in a session of their own."""
+    files = Tables(footer_session(t.spark), t.path)
+    return table_summary({name: getattr(files, name) for name in TABLE_NAMES})
+
+
+EVENTS_CSV = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.StringType())])
+
+
+@query(
+    "c06_text_to_datetime",
+    """SELECT event_id, epoch_us(ts) AS micros, CAST(datediff('day', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS days
+       FROM events""",
+)
+def c06(t):
+    """The times of the events as text in CSV files, read back as text and parsed."""
+    path = scratch_path(t.spark, "times")
+    text = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts")
+    t.events.select("event_id", text).write.option("header", True).csv(path)
+    events = open_registry(t.spark, {"times": {"file_name": path, "format": "csv"}}, schemas={"times": EVENTS_CSV}, views=False)
+    moment = to_datetime("ts")
+    return events["times"].select(
+        "event_id",
+        F.timestamp_diff("MICROSECOND", ntz("1970-01-01"), moment).alias("micros"),
+        whole_days(moment, ntz("2024-01-01")).alias("days"),
+    )
+
+
+QUESTIONS_PER_FILE = 1000
+
+
+@query(
+    "s06_question_corpus",
+    """SELECT CASE WHEN p_size % 2 = 0 THEN 'select' ELSE 'joins' END AS corpus, 'Q' || p_partkey AS id, p_name AS question,
+              p_brand || ':part,Supplier:supplier.csv' AS datasets, p_type AS gold_code FROM part""",
+)
+def s06(t):
+    """The parts as questions of two corpora, written as files, opened by name (one by default)."""
+    root = scratch_path(t.spark, "corpora")
+    registry = {"select": f"{root}/select", "joins": f"{root}/joins"}
+
+    def entry(file_name, fmt):
+        return F.struct(F.lit(file_name).alias("file_name"), F.lit(fmt).cast("string").alias("format"))
+
+    questions = t.part.select(
+        "p_size",
+        "p_partkey",
+        F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("id"),
+        F.col("p_name").alias("question"),
+        F.create_map("p_brand", entry("part", None), F.lit("Supplier"), entry("supplier", "csv")).alias("datasets"),
+        F.col("p_type").alias("gold_code"),
+    )
+    bucket = F.call_function("div", F.col("p_partkey"), F.lit(QUESTIONS_PER_FILE))
+    for rest, path in enumerate(registry.values()):
+        write_corpus(questions.where(F.col("p_size") % 2 == rest), path, bucket)
+    out = None
+    for name in (None, "joins"):
+        files = F.transform(
+            F.map_entries("datasets"),
+            lambda e: F.concat_ws(".", F.concat_ws(":", e["key"], e["value"]["file_name"]), e["value"]["format"]),
+        )
+        one = load_questions(t.spark, corpus_path(registry, name)).select(
+            F.lit(name or "select").alias("corpus"), "id", "question", F.array_join(files, ",").alias("datasets"), "gold_code"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "s11_inline_tables",
+    f"""WITH flags(flag, meaning) AS (VALUES ('A', 'accepted'), ('N', 'new'), ('R', 'returned')),
+          states(state, closed) AS (VALUES ('F', 'yes'), ('O', NULL))
+        SELECT meaning, closed, count(*) AS n_lines, {sql_sum(sql_money('l_extendedprice'))} AS price
+        FROM lineitem JOIN flags ON l_returnflag = flag JOIN states ON l_linestatus = state GROUP BY ALL""",
+)
+def s11(t):
+    """Two tables given in the program, as columns and as rows, joined to the lines."""
+    flags = inline_table(
+        t.spark, {"flag": ["A", "N", "R"], "meaning": ["accepted", "new", "returned"]}, "flag string, meaning string"
+    )
+    states = inline_table(t.spark, [{"state": "F", "closed": "yes"}, {"state": "O"}], "state string, closed string")
+    sums = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n_lines"), sum_dp(money("l_extendedprice")).alias("price")
+    )
+    named = sums.join(flags, F.col("l_returnflag") == F.col("flag")).join(states, F.col("l_linestatus") == F.col("state"))
+    return named.select("meaning", "closed", "n_lines", "price")
 
 
 @query(
@@ -256,6 +343,86 @@ def v02(t):
     )
 
 
+# Columns of the tables whose rows the twin can write as text: names, and quotes around the texts.
+_DIGEST_TABLES = {
+    "region": {"r_regionkey": "", "r_name": '"'},
+    "nation": {"n_nationkey": "", "n_name": '"', "n_regionkey": ""},
+    "customer": {"c_custkey": "", "c_name": '"', "c_nationkey": "", "c_acctbal": "", "c_mktsegment": '"'},
+    "supplier": {"s_suppkey": "", "s_name": '"', "s_nationkey": "", "s_acctbal": ""},
+    "part": {"p_partkey": "", "p_name": '"', "p_brand": '"', "p_type": '"', "p_size": "", "p_retailprice": ""},
+    "lineitem": _LINE_CELLS,
+    "labels": {"quality": "", "toxic": ""},
+}
+
+
+def _sql_row(cells: dict[str, str]) -> str:
+    texts = {n: f"strftime({n}, '%Y-%m-%dT%H:%M:%S.000')" if n == "l_shipdate" else f"CAST({n} AS VARCHAR)" for n in cells}
+    return " || ',' || ".join(
+        f"""'"{i}_{n}":' || coalesce('{q}' || {texts[n]} || '{q}', 'null')""" for i, (n, q) in enumerate(cells.items())
+    )
+
+
+def _sql_digest(table: str, cells: dict[str, str]) -> str:
+    """Horner's rule over the sorted rows, the last one first."""
+    names, columns = ", ".join(cells), ",".join(cells)
+    order = ", ".join(f"{n} DESC NULLS LAST" for n in cells)
+    folded = " || '|' || ".join(
+        f"list_reduce([0] || list(h % {p} ORDER BY {order}), lambda a, b: (a * {r} + b) % {p})" for p, r in MODULI
+    )
+    return f"""SELECT '{table}' AS table_name, CAST(sum(n) AS BIGINT) AS rows, CAST({len(cells)} AS BIGINT) AS cols,
+        substr(sha256('{columns}|' || CAST(sum(n) AS BIGINT) || '|' || {folded}), 1, 16) AS hash
+        FROM (SELECT *, CAST('0x' || substr(sha256('{{' || {_sql_row(cells)} || '}}*' || n), 1, 15) AS BIGINT) AS h
+              FROM (SELECT {names}, count(*) AS n FROM {table} GROUP BY ALL))"""
+
+
+@query("v02_ordered_digest", " UNION ALL ".join(_sql_digest(*item) for item in _DIGEST_TABLES.items()))
+def v02_ordered(t):
+    """Digests of the sorted rows; the labels without their key are nearly all copies of a few rows."""
+    out = None
+    for name, cells in _DIGEST_TABLES.items():
+        one = ordered_digest(getattr(t, name).select(*cells)).select(
+            F.lit(name).alias("table_name"), F.col("shape.rows").alias("rows"), F.col("shape.cols").alias("cols"), "hash"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_ORDERED = "l_returnflag, l_linestatus, l_discount, l_tax, l_quantity"
+
+
+@query(
+    "o04_canonical_order",
+    f"SELECT {_ORDERED}, row_number() OVER (ORDER BY {_ORDERED}) - 1 AS position FROM lineitem",
+)
+def o04(t):
+    """Lines in the order of all their columns; many are copies of one another."""
+    return canonical_positions(t.lineitem.select(*_ORDERED.split(", ")))
+
+
+@query(
+    "v01_result_must_be_a_table",
+    " UNION ALL ".join(
+        [
+            f"""SELECT '{name}' AS question_id, true AS ok, '{",".join(_DIGEST_TABLES[name])}' AS columns,
+                count(*) AS rows, CAST({len(_DIGEST_TABLES[name])} AS BIGINT) AS cols FROM {name}"""
+            for name in ("customer", "lineitem", "part")
+        ]
+        + ["SELECT 'names', false, NULL, NULL, NULL", "SELECT 'number', false, NULL, NULL, NULL"]
+    ),
+)
+def v01(t):
+    """Results of questions; those that are no table are failed runs."""
+    results = {name: getattr(t, name) for name in ("customer", "lineitem", "part")}
+    results |= {"number": len(t.orders.columns), "names": t.orders.columns}
+    return fingerprint_all(results).select(
+        "question_id",
+        "ok",
+        F.array_join("columns", ",").alias("columns"),
+        F.col("shape.rows").alias("rows"),
+        F.col("shape.cols").alias("cols"),
+    )
+
+
 @query(
     "v03_shape_per_question",
     f"WITH {SQL_RESULT_TABLES} SELECT question_id, n AS rows, CAST(2 AS BIGINT) AS cols FROM judged",

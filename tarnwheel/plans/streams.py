@@ -98,13 +98,23 @@ def s12(t):
     return parsed.select("event", "data.seq", "data.submission_id")
 
 
+_SQL_ANSWER_RECORD = """',"question_id":"Q' || event_id || '","generated_answer":{"code":"code","generation_duration_seconds":'
+    || value || ',"peak_ram_mb":' || value * 100 || ',"peak_gpu_mb":' || value / 4
+    || '},"executed_answer":{"success":true,"exact_match":' || (event_id % 3 = 0) || ',"execution_duration_seconds":'
+    || value / 2 || '}'"""
+
+
 @query(
     "s13_format_event_records",
-    """SELECT 'event: error' || chr(10) || 'data: {"submission_id":' || user_id || ',"seq":' || event_id
-              || ',"message":' || to_json(props) || '}' AS value FROM events WHERE event_type = 'error'""",
+    f"""WITH named AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'question_result' WHEN event_type = 'signup'
+            THEN 'status' WHEN event_type = 'purchase' THEN 'done' ELSE 'error' END AS event FROM events),
+          delivered AS (SELECT * FROM named UNION ALL SELECT * FROM named WHERE event_type = 'click')
+        SELECT 'event: ' || event || chr(10) || 'data: {{"submission_id":' || user_id || ',"seq":' || event_id
+          || CASE event WHEN 'question_result' THEN {_SQL_ANSWER_RECORD} WHEN 'status' THEN ',"step":"question_started"'
+             WHEN 'error' THEN coalesce(',"message":' || to_json(props), '') ELSE '' END || '}}' AS value FROM delivered""",
 )
 def s13(t):
-    return event_records(t).where(F.startswith("value", F.lit("event: error")))
+    return event_records(t)
 
 
 def _streamed_totals(t):
