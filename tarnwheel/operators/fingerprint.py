@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from tarnwheel.functions import digest16, last_json_line
 
+#: Hash buckets in which two results are compared before their rows are.
+LEAVES = 65_536
+
 PAYLOAD = T.StructType(
     [
         T.StructField("columns", T.ArrayType(T.StringType())),
@@ -173,11 +176,31 @@ def outcome(success: Column, exact_match: Column) -> Column:
     )
 
 
-def row_differences(candidate: DataFrame, gold: DataFrame) -> DataFrame:
-    """Rows that only one side has, duplicates counted: one sum over the rows of both sides."""
-    columns = gold.columns
-    signed = gold.withColumn("__n", F.lit(1)).union(candidate.select(*columns).withColumn("__n", F.lit(-1)))
-    surplus = signed.groupBy(*columns).agg(F.sum("__n").alias("__n")).where(F.col("__n") != 0)
+def row_differences(candidate: DataFrame, gold: DataFrame, leaves: int = LEAVES) -> DataFrame:
+    """Rows that only one side has, duplicates counted, with ``side``: ``missing`` or ``extra``.
+
+    Rows fall by hash into ``leaves``, whose signed sums (rows and two hashes) are
+    combined map-side: all that is shuffled of leaves that agree.  Only rows of leaves
+    that differ are shuffled and counted; both sides are read once more for
+    that, so they have to give the same rows twice.  Different leaves have equal sums with a probability of 2 ** -128.
+
+    Columns go by name and have to be on both sides; others of ``candidate`` are not compared.  Nulls are equal to nulls.
+    """
+    names = [f"c{i}" for i in range(len(gold.columns))]
+    ours = gold.toDF(*names).withColumn("__n", F.lit(1))
+    theirs = candidate.select(*[f"`{c}`" for c in gold.columns]).toDF(*names).withColumn("__n", F.lit(-1))
+    first, second = F.xxhash64(*names), F.xxhash64(F.lit("second"), *names)
+    signed = ours.union(theirs).withColumn("__leaf", F.pmod(first, F.lit(leaves)))
+
+    def total(value: Column) -> Column:
+        return F.sum(value.cast("decimal(20,0)") * F.col("__n"))
+
+    differing = signed.groupBy("__leaf").agg(
+        F.sum("__n").alias("__rows"), total(first).alias("__first"), total(second).alias("__second")
+    )
+    differing = differing.where((F.col("__rows") != 0) | (F.col("__first") != 0) | (F.col("__second") != 0))
+    rows = signed.join(F.broadcast(differing.select("__leaf")), "__leaf", "left_semi")  # at most ``leaves`` numbers
+    surplus = rows.groupBy(*names).agg(F.sum("__n").alias("__n")).where(F.col("__n") != 0)
     side = F.when(F.col("__n") > 0, F.lit("missing")).otherwise(F.lit("extra"))
     copies = F.explode(F.array_repeat(F.lit(0), F.abs("__n").cast("int")))
-    return surplus.select(*columns, side.alias("side"), copies.alias("__copy")).drop("__copy")
+    return surplus.select(*names, side.alias("side"), copies.alias("__copy")).drop("__copy").toDF(*gold.columns, "side")

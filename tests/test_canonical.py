@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from support import DATA
 from tarnwheel.operators import closure
 from tarnwheel.operators.canonical import COPIES, MODULI, canonical_positions, ordered_digest, power
 from tarnwheel.operators.closure import tree_totals
+from tarnwheel.operators.fingerprint import row_differences
 from tarnwheel.sources.corpus import inline_table
 from tarnwheel.sources.store import key_violations
 from tarnwheel.sources.tables import footer_session, table_summary
@@ -165,3 +167,36 @@ def test_inline_tables(spark):
     for wrong in ({"a": [1], "b": []}, {"a": [1], "b": ["x"], "c": [1]}, [{"c": 1}]):
         with pytest.raises(ValueError):
             inline_table(spark, wrong, schema)
+
+
+@pytest.mark.parametrize("leaves", [1, 7, 65_536])
+def test_row_differences_against_counts(spark, leaves):
+    ours, theirs = sample(300, 3), sample(300, 4)
+    gold, other = spark.createDataFrame(ours, SCHEMA), spark.createDataFrame(theirs, SCHEMA).select("a_b", "b", "a")
+    got = Counter(map(tuple, row_differences(other, gold, leaves).collect()))
+    missing, extra = Counter(ours) - Counter(theirs), Counter(theirs) - Counter(ours)
+    assert got == Counter({(*r, "missing"): n for r, n in missing.items()} | {(*r, "extra"): n for r, n in extra.items()})
+    assert row_differences(gold.repartition(5), gold, leaves).count() == 0
+    assert row_differences(gold.limit(0), gold, leaves).count() == 300
+
+
+def test_equal_tables_are_shuffled_as_sums_only(spark):
+    def shuffled(changed):
+        """Records that each shuffle of the whole comparison writes."""
+        df = spark.read.parquet(str(DATA / "sf0.001" / "lineitem.parquet"))
+        other = df.withColumn("l_tax", F.when(F.col("l_orderkey") == changed, 9.0).otherwise(F.col("l_tax")))
+        found = row_differences(other, df, 16)
+        found.collect()
+        plan, written = found._jdf.queryExecution().executedPlan(), []
+        todo = [plan.finalPhysicalPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+                node = node.plan()
+            if node.nodeName() == "Exchange":
+                written.append(node.metrics().apply("shuffleRecordsWritten").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return written
+
+    assert sum(shuffled(-1)) <= 2 * 16 * 8
+    assert sum(shuffled(201)) > 2 * 16 * 8
