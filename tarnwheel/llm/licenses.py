@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import regex
@@ -83,10 +83,13 @@ class Scanner:
             found += [(s, s + size, 0, n) for s in exact]
             end = 0
             for s in starts if e else ():
-                near = bisect_left(exact, s - size + 1)
-                if s < end or (near < len(exact) and exact[near] < s + size):
+                # What is left around the proposal, between the match before it and the exact places.
+                at = bisect_right(exact, s)
+                low = max(0, s - e, end, exact[at - 1] + size if at else 0)
+                high = min(len(text), s + size + e, exact[at] if at < len(exact) else len(text))
+                if high - low < size - e:
                     continue
-                m = pattern.search(text, max(0, s - e), min(len(text), s + size + e))
+                m = pattern.search(text, low, high)
                 if m:
                     found.append((m.start(), m.end(), sum(m.fuzzy_counts), n))
                     end = m.end()
@@ -142,8 +145,8 @@ def scan_licenses(
     intact in every match.  The seeds are looked up exactly, and the regex
     library decides about the window around each with the bounded number of
     errors.  A place without errors between word limits is exact; only those
-    of ``base`` are marked ``base``.  An inexact place that touches an exact
-    one of the same notice is not reported again.
+    of ``base`` are marked ``base``.  Places of one notice do not overlap unless they are exact: a
+    stretch within the allowed errors that is not reported overlaps one that is.
 
     Null and empty texts have no words and no spans; rows are never dropped or
     merged, whatever their ids; other columns are not read.

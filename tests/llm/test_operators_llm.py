@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -270,6 +271,48 @@ def test_fuzzy_notices():
     assert found("xcc by nc") == [] or not found("xcc by nc")[0][1]
 
 
+def brute_ends(text, phrase, errors):
+    """Ends and latest starts of the stretches of a text with so many errors at most, by edit distances."""
+    cells = [(j, 0) for j in range(len(phrase) + 1)]  # distance, start
+    found = []
+    for i, c in enumerate(text):
+        row = [(0, i + 1)]
+        for j, p in enumerate(phrase):
+            steps = (cells[j][0] + (p != c), cells[j][1]), (cells[j + 1][0] + 1, cells[j + 1][1]), (row[j][0] + 1, row[j][1])
+            row.append(min(steps, key=lambda x: (x[0], -x[1])))
+        cells = row
+        if row[-1][0] <= errors:
+            found.append((row[-1][1], i + 1))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_notices_against_edit_distances(seed):
+    """Every stretch within the errors overlaps a reported one, and every reported one is within them."""
+    rng = random.Random(seed)
+    notices = [licenses.notice(p, x, True, 10) for p, x in licenses.BASE + licenses.MORE[:4]]
+
+    def edited(phrase):
+        out = list(phrase)
+        for _ in range(rng.randint(0, len(phrase) // 10 + 1)):
+            at = rng.randrange(len(out))
+            out[at : at + 1] = rng.choice([[], [out[at], rng.choice("abe ")], [rng.choice("ixz")]])
+        return "".join(out)
+
+    parts = [edited(rng.choice(notices[:7]).phrase) if rng.random() < 0.6 else "".join(rng.choices("aceilnrstu ", k=rng.randint(0, 15))) for _ in range(40)]
+    text = f" {' '.join(alnum(' '.join(parts)))} "
+    spans = licenses.Scanner(notices).spans(text)
+    assert len(spans) > 5
+    for n in notices:
+        mine = [(a, b) for a, b, errors, m in spans if m is n]
+        near = brute_ends(text, n.phrase, n.errors)
+        missed = [(a, b) for a, b in near if n.errors and not any(a < y and x < b for x, y in mine)]
+        assert missed == []
+        assert all(brute_ends(text[a:b], n.phrase, n.errors) for a, b in mine)
+        places = {i for i in range(len(text)) if text.startswith(f" {n.phrase} ", i)}
+        assert {a - 1 for a, b, errors, m in spans if m is n and errors == 0 and text[a - 1] == text[b] == " "} >= places
+
+
 def brute_bytes(texts):
     seen, out = set(), {}
     order = sorted(range(len(texts)), key=lambda i: (texts[i][0] is None, texts[i][0] or 0))
@@ -432,3 +475,60 @@ def test_empty_tables(spark, nothing, benchmark):
         quality.accepted(nothing, labels),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def plain_statistics(text):
+    """The statistics of a text once more, letter by letter."""
+    data, found = (text or "").encode(), (text or "").encode().split()
+    ascii_ = [chr(b) for b in data if b < 128]
+
+    def angle(part, whole):
+        return np.arcsin(np.sqrt(min(part / whole, 1))) if whole else 0.0
+
+    def share(test):
+        return angle(sum(map(test, ascii_)), len(data))
+
+    n, parts = len(found), data.split(b"\n")
+    plain_marks = [c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in ".,;:'\"-?()|"]
+    return [
+        np.log(1 + n),
+        np.log(1 + (len(data) - n) / n) if n else 0.0,
+        angle(sum(c.isupper() for c in ascii_), sum(c.isalpha() for c in ascii_)),
+        share(str.isdigit),
+        share(lambda c: c in ".,;:'\"-?()"),
+        share(lambda c: c in plain_marks),
+        share(lambda c: c == "|"),
+        angle(sum(found[i] == found[i - 1] for i in range(1, n)), n),
+        angle(max(Counter(found).values()) if n else 0, n),
+        np.log((len(set(found)) + 0.5) / (n + 0.5)),
+        np.log(1 + n / len(parts)),
+        angle(sum(parts[i] == parts[i - 1] for i in range(1, len(parts))), len(parts)),
+    ]
+
+
+def test_quality_against_densities(spark, docs, texts):
+    """Scores from normal densities of the plain statistics, without Cholesky factors."""
+    labels = {i: int(i % 3 > 0) for i in range(130)}
+    x = {i: np.array(plain_statistics(t)) for i, t, *_ in texts if i is not None}
+    x_of_null = [np.array(plain_statistics(t)) for i, t, *_ in texts if i is None]
+    teachers = [i for i, *_ in texts if i in labels and zlib.crc32(str(i).encode()) % 5]
+    groups = [np.array([x[i] for i in teachers if labels[i] == c]) for c in (0, 1)]
+    own = [np.cov(g.T, bias=True) for g in groups]
+    pooled = sum(len(g) * np.diag(c) for g, c in zip(groups, own)) / len(teachers)
+    shrunk = [0.95 * c + 0.05 * np.diag(np.maximum(pooled, 1e-6)) for c in own]
+
+    def density(v, c):
+        d = v - groups[c].mean(axis=0)
+        return -0.5 * (d @ np.linalg.solve(shrunk[c], d) + np.linalg.slogdet(shrunk[c])[1])
+
+    def plain_score(v):
+        odds = density(v, 1) - density(v, 0) + np.log((len(groups[1]) + 1) / (len(groups[0]) + 1))
+        return 1 / (1 + np.exp(-np.arcsinh(odds)))
+
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    got = quality.quality_scores(quality.with_statistics(docs), table).collect()
+    made = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in got))
+    want = sorted([(False, i, plain_score(x[i])) for i, *_ in texts if i is not None] + [(True, 0, plain_score(v)) for v in x_of_null])
+    assert [m[:2] for m in made] == [w[:2] for w in want]
+    assert np.allclose([m[2] for m in made], [w[2] for w in want], atol=1e-6)
+    assert all(r["predicted"] == (r["score"] >= 0.3) for r in got)
