@@ -18,7 +18,7 @@ HOT = {
     "events": {"user_id": 0},
 }
 # The ones that split, pair up or join row by row; TARNWHEEL_FULL=1 takes them all.
-CHOSEN = ("win", "pip01", "pip06", "pip11", "joi06", "joi07", "joi15", "opt17", "opt21", "v04_c", "v06", "x01", "x04", "x06", "x08")
+CHOSEN = ("win", "pip01", "pip06", "pip11", "joi06", "joi07", "joi15", "opt17", "opt21", "o04", "s16", "v02_o", "v04", "v06", "v08", "x01", "x04", "x06", "x08")
 FULL = os.environ.get("TARNWHEEL_FULL") == "1"
 NAMES = [n for n in CATALOGUE if n.startswith("" if FULL else CHOSEN)]
 
