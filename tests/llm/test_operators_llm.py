@@ -164,6 +164,31 @@ def test_shared_ranges_are_all_of_a_stretch():
     assert {r[2:4] for r in got} >= {(0, 45), (80, 125)}
 
 
+def plain_limits(hashes, place):
+    low, high = place, place
+    while low > 0 and hashes[low - 1] >= hashes[place]:
+        low -= 1
+    while high < len(hashes) - 1 and hashes[high + 1] >= hashes[place]:
+        high += 1
+    return low, high
+
+
+@pytest.mark.parametrize("kind", ["any", "ties", "rising", "ends", "deep"])
+def test_limits_of_compact_windows_have_no_reach(kind):
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(1, 5 if kind == "ties" else 1 << 60, 30_000, dtype=np.uint64)
+    if kind == "rising":
+        hashes.sort()
+    elif kind == "ends":
+        hashes[rng.integers(0, len(hashes), 40)] = 0
+    elif kind == "deep":
+        hashes[[15_000, 40, 29_990]] = 1
+    made = list(zip(*(x.tolist() for x in passages.compact_windows(hashes)), strict=True))
+    assert made and max(b - a for _, a, b in made) > (8191 if kind != "ends" else 127)
+    for place, left, right in made[:: max(1, len(made) // 60)] + sorted(made, key=lambda w: w[1] - w[2])[:5]:
+        assert (left, right) == plain_limits(hashes.tolist(), place)
+
+
 def test_compact_windows_are_all_and_only():
     rng = np.random.default_rng(3)
     values = rng.integers(1, 60, size=400).astype(np.uint64)
