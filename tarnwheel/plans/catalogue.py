@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwheel.session import apply_defaults
+from tarnwheel.session import apply_defaults, partitions_of_folder, start_partitions
 from tarnwheel.sources.tables import Tables
 
 
@@ -18,7 +18,8 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.build(Tables(apply_defaults(spark), folder))
+        start_partitions(apply_defaults(spark), partitions_of_folder(spark, folder))
+        return self.build(Tables(spark, folder))
 
 
 CATALOGUE: dict[str, Query] = {}
