@@ -34,7 +34,7 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["pip11_supplier_pairs_sharing_orders"])
+@pytest.mark.parametrize("name", ["pip11_supplier_pairs_sharing_orders", "v04_row_differences"])
 def test_shuffles_start_from_more_partitions_for_larger_tables(two_partitions, monkeypatch, name):
     before = entry.queries()[name](two_partitions, DATA)
     assert set(shuffled(before)) == {2}
