@@ -92,6 +92,6 @@ def format_record(event: Column, payload: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(payload))
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Write one text column as records."""
-    records.write.mode("overwrite").option("lineSep", SEPARATOR).text(path)
+def write_records(records: DataFrame, path: str, *folders: str) -> None:
+    """Write one text column as records, in a folder per value of the columns ``folders`` if there are any."""
+    records.write.mode("overwrite").option("lineSep", SEPARATOR).partitionBy(*folders).text(path)

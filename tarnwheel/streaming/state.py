@@ -18,19 +18,24 @@ totals, and later records of that attempt are dropped; a later attempt opens it
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwheel.operators.results import status_of
 from tarnwheel.operators.scoring import summarise
-from tarnwheel.session import reliable
+from tarnwheel.session import INITIAL_PARTITIONS, RUNTIME_DEFAULTS, apply_defaults, reliable, start_partitions
 from tarnwheel.sources.records import ANSWER, parse_records, stream_records
 
 from .jobs import answers_of
 
 BUCKETS = 64
 KEEP_BATCHES = 100
+#: Shuffle partitions that a batch starts from, per input split.
+PER_SPLIT = 8
 #: The records, with the attempt that they belong to; without one it is 0.
 RECORD = T.StructType([*ANSWER.fields, T.StructField("attempt", T.LongType())])
 FIRST = ["seq", "success", "exact_match", "generation_seconds", "execution_seconds", "peak_ram_mb", "peak_gpu_mb"]
@@ -131,15 +136,39 @@ def merge(
     return firsts.where(~F.col("ends")).select(*T.StructType.fromDDL(ANSWERS).names), held.select(*names)
 
 
+@contextmanager
+def sized(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Shuffles whose tasks do not grow: the function given back lets them start from partitions in
+    proportion to the input splits of some frames.  The settings before come back at the end."""
+    names = [*RUNTIME_DEFAULTS, INITIAL_PARTITIONS]
+    before = {name: spark.conf.get(name, None) for name in names}
+    apply_defaults(spark)
+    try:
+        yield lambda *frames: start_partitions(spark, PER_SPLIT * sum(f.rdd.getNumPartitions() for f in frames))
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def absorb(records: DataFrame, batch_id: int, folder: str, keep: int) -> None:
     """Merge one batch of records into the state."""
+    with sized(records.sparkSession) as fit:
+        _absorb(records, batch_id, folder, keep, fit)
+
+
+def _absorb(records: DataFrame, batch_id: int, folder: str, keep: int, fit: Callable[..., None]) -> None:
     spark = records.sparkSession
+    fit(records)
     answers, submissions = map(reliable, news(records, batch_id))
     before = versions(spark, folder, batch_id - 1)
     touched = [r["bucket"] for r in submissions.select("bucket").distinct().collect()]
     held = {b: before[b] for b in touched if b in before}
     old_answers = present(spark, folder, "answers", ANSWERS, held)
     old_submissions = present(spark, folder, "submissions", SUBMISSIONS, held)
+    fit(records, old_answers, old_submissions)
     tables = merge(answers, submissions, old_answers, old_submissions, batch_id, keep)
     for name, rows in zip(("answers", "submissions"), tables, strict=True):
         # A file per bucket, or more where a bucket is large.
