@@ -49,8 +49,8 @@ class Forest:
         At length 0 it has seen all.
         """
         codes = hash_strings(unit, self.seed)
-        low = np.empty((BITS + 1, len(unit), TREES), dtype=np.int32)
-        high = np.empty_like(low)
+        low = np.zeros((BITS + 1, len(unit), TREES), dtype=np.int32)
+        high = np.zeros_like(low)
         for length in range(BITS + 1):
             shift = np.uint64(BITS - length)
             start = (codes >> shift) << shift
@@ -58,16 +58,20 @@ class Forest:
             for t in range(TREES):
                 low[length, :, t] = np.searchsorted(self.sorted[:, t], start[:, t], "left")
                 high[length, :, t] = np.searchsorted(self.sorted[:, t], end[:, t], "left")
+            # Longer prefixes have no more visits, so where all queries have too few nothing is looked up.
+            if ((high[length] - low[length]).sum(axis=1) < least).all():
+                break
         visits = (high - low).sum(axis=2)
+        by_tree = list(np.ascontiguousarray(self.order.T))
         for q in range(len(unit)):
             length = BITS
             while True:
                 # Visits count a vector once per tree, so fewer visits than wanted need no look.
                 while visits[length, q] < least and length:
                     length -= 1
+                ranges = zip(by_tree, low[length, q].tolist(), high[length, q].tolist(), strict=True)
                 seen = np.zeros(self.size, dtype=bool)
-                for t in range(TREES):
-                    seen[self.order[low[length, q, t] : high[length, q, t], t]] = True
+                seen[np.concatenate([order[a:b] for order, a, b in ranges])] = True
                 if not length or seen.sum() >= least:
                     break
                 length -= 1
