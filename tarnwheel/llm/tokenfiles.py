@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +86,13 @@ def memoryview_of(value: pa.Scalar) -> memoryview:
     return memoryview(value.as_buffer() or b"")
 
 
-def encoded(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int | None, mark: str | None) -> DataFrame:
+#: Gives texts that have the same ids as those given.
+Prepare = Callable[[list[bytes]], list[bytes]]
+
+
+def encoded(
+    docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int | None, mark: str | None, prepare: Prepare | None
+) -> DataFrame:
     """``row, doc_id, ids`` of every row, the ids as packed numbers of two or four bytes.
 
     A text is cut at ASCII white space, and a process encodes each different word
@@ -104,7 +110,8 @@ def encoded(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: i
         kind = kind_of(tokenizer.get_vocab_size(with_added_tokens=True))
         memory = kept(f"words {path} {mark}", lambda: Memory([word_encoder(tokenizer, mark)]))
         for part in by_bytes(batches, 2, CHUNK):
-            words = [t.split() for t in part.column(2).to_pylist()]
+            texts = part.column(2).to_pylist()
+            words = [t.split() for t in (prepare(texts) if prepare else texts)]
             counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             ((ids, sizes),) = memory.ids([w for ws in words for w in ws])
             ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)].tolist()
@@ -208,13 +215,15 @@ def write_token_files(
     text_col: str = "text",
     end_id: int | None = None,
     mark: str | None = None,
+    prepare: Prepare | None = None,
     file_ids: int = FILE_IDS,
 ) -> str:
     """Encode every whole text, write the ids in ascending order of document ids, and return the folder.
 
     ``tokenizer`` is the path of a file of the tokenizers library whose tokens
     never reach across white space; ``end_id`` follows the ids of each text;
-    ``mark`` names a special token that may stand between words while they are encoded.
+    ``mark`` names a special token that may stand between words while they are encoded;
+    ``prepare`` may give texts of the same ids that have fewer different words.
     The folder is a new one in the shared folder unless given; executors write there, so it has
     to be one that all of them reach.
 
@@ -225,7 +234,8 @@ def write_token_files(
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-files")
-    tokens = stored(encoded(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, mark=mark), "tokens")
+    made = encoded(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, mark=mark, prepare=prepare)
+    tokens = stored(made, "tokens")
     kind = kind_of(open_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True))
     vocabulary, total = ranked_ids(tokens, kind)
     put(folder, "vocabulary.bin", [vocabulary.tobytes()])

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tarnwheel.llm import tokenfiles
-from tarnwheel.llm.tokens import Memory, word_encoder
+from tarnwheel.llm.tokens import Memory, letters_apart, word_encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 MARK = "<|endoftext|>"
@@ -83,3 +83,51 @@ def test_empty_table_and_no_end(spark, nothing):
     docs = spark.createDataFrame([(3, None), (1, ""), (2, "two words")], "doc_id long, text string")
     got = read(spark, tokenfiles.write_token_files(docs, PATH))
     assert sorted((d, len(x)) for _, d, x in got) == [(1, 0), (2, 2), (3, 0)]
+
+
+def made_texts(seed: int) -> list[str]:
+    rng = random.Random(seed)
+    signs = "aAzJHTWYéÉß×÷'s'TreLḺ̸̌̈̊́̇İIK 　 \n\t.,-_=<|>\"(1²½中ーがか゚\U0001f600각\x1c\u0085\x7f"
+    return ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(4000)]
+
+
+def test_letters_apart_keeps_ids():
+    """Lower case and cuts change no id, and words differ less."""
+    tokenizer = Tokenizer.from_file(PATH)
+    given = [*made_texts(2), *ODD, "J̌ ǰ <|ENDOFTEXT|>", "Jé, (Été) l'Eau, 'Sx don'T. A.B", "", "AB"]
+    found = letters_apart([t.encode() for t in given])
+    memory = Memory([word_encoder(tokenizer, MARK)])
+    for text, prepared in zip(given, found, strict=True):
+        wanted = tokenizer.encode(text, add_special_tokens=False).ids
+        assert tokenizer.encode(prepared.decode(), add_special_tokens=False).ids == wanted, repr(text)
+        ((ids, _),) = memory.ids(prepared.split())
+        assert ids.tolist() == wanted, repr(text)
+    assert letters_apart([b"The end, the End (THE)"]) == [b"the end , the end ( the )"]
+    assert letters_apart([]) == [] and letters_apart([b"", b"", b"A\xff,\xc3"]) == [b"", b"", b"A\xff,\xc3"]
+
+
+def test_words_of_letters_go_together():
+    """Also those of which one is two stretches for the tokenizer."""
+    tokenizer = Tokenizer.from_file(PATH)
+    words = ["one", "İ", "x,", "été", "Zz", "각", "12", "ß"]
+    for chosen in (words, words[:1], ["İx", "xİ"], [w for w in words if w != "İ"], ["1", ","]):
+        ids, sizes = word_encoder(tokenizer, MARK)([w.encode() for w in chosen])
+        each = [tokenizer.encode(w, add_special_tokens=False).ids for w in chosen]
+        assert sizes.tolist() == list(map(len, each)) and ids.tolist() == [i for x in each for i in x]
+
+
+def test_memory_after_a_failure():
+    """Units whose encoding failed are not taken for known ones."""
+    failing = True
+
+    def encode(units):
+        if failing and b"bad" in units:
+            raise ValueError
+        return np.array([len(u) for u in units]), np.ones(len(units), dtype=np.int64)
+
+    memory = Memory([encode])
+    memory.ids([b"a"])
+    with pytest.raises(ValueError):
+        memory.ids([b"bb", b"bad"])
+    failing = False
+    assert memory.ids([b"a", b"bad", b"bb", b"a"])[0][0].tolist() == [1, 3, 2, 1]
