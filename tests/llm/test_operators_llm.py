@@ -164,6 +164,36 @@ def test_shared_ranges_are_all_of_a_stretch():
     assert {r[2:4] for r in got} >= {(0, 45), (80, 125)}
 
 
+def test_stretches_that_can_share_nothing_are_not_cut(monkeypatch):
+    """The quick refusal changes no result, and spares the cutting at gaps."""
+    rng = np.random.default_rng(3)
+    cases = []
+    for i in range(300):
+        x = rng.integers(400 if i % 3 else 60, size=rng.integers(46, 300)).astype(np.uint32)
+        if i % 2:
+            x = rng.permutation(400)[: len(x)].astype(np.uint32)
+        y = np.where(rng.random(len(x)) < rng.choice([0, 0.02, 0.2, 0.9]), rng.integers(1000, 9000, len(x)), x).astype(np.uint32)
+        cases.append((x, y if i % 5 else np.concatenate([y[60:], y[:60]])))
+    quick = [passages.shared_ranges(x, y) for x, y in cases]
+    with monkeypatch.context() as patch:
+        patch.setattr(passages, "may_share", lambda x, y: True)
+        assert [passages.shared_ranges(x, y) for x, y in cases] == quick
+    assert 0 < sum(map(bool, quick)) < len(quick)
+    monkeypatch.setattr(passages, "widest_gap", None)
+    x = np.arange(200, dtype=np.uint32)
+    assert passages.shared_ranges(x, np.where(x % 3 > 0, x, x + 1000)) == []
+
+
+def test_pairs_of_a_group_need_a_text_in_few_buckets(spark, monkeypatch):
+    monkeypatch.setattr(passages, "TOGETHER", 100)
+    rows = [(a, b, a, b, 0, 1) for a in range(60) for b in range(a + 1, 60)]
+    got = passages.dealt(spark.createDataFrame(rows, passages.PASSAGES)).collect()
+    assert sorted(tuple(r)[1:] for r in got) == rows
+    needed = {(r["bucket"], r[side]) for r in got for side in "ab"}
+    assert len(needed) <= 60 * 2 * 5 < len(rows)
+    assert len({r["bucket"] for r in got}) > 5
+
+
 def plain_limits(hashes, place):
     low, high = place, place
     while low > 0 and hashes[low - 1] >= hashes[place]:
