@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -194,6 +195,65 @@ def test_pairs_of_a_group_need_a_text_in_few_buckets(spark, monkeypatch):
     assert len({r["bucket"] for r in got}) > 5
 
 
+def links_by_pair(texts: list[str], most: int) -> Counter:
+    """Links of the windows of some texts, met in one bucket, by pair of texts."""
+    windows = passages.windows_of([{"id": i, "text": t.encode()} for i, t in enumerate(texts)])
+    jobs = passages.meet(256, most)(pa.table({"windows": [windows.tobytes()]}))
+    found = Counter()
+    for links in passages.link_windows(jobs.to_batches()):
+        found.update(zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True))
+    return found
+
+
+def test_hot_lines_do_not_pair_their_texts_but_hot_passages_do():
+    rng = np.random.default_rng(11)
+    line, passage = fresh_words(rng, 13), fresh_words(rng, 60)
+    texts = [fresh_words(rng, 60) + line + fresh_words(rng, 60) for _ in range(150)]
+    # Every third word of half of the passages is another one in the first or last 15 words.
+    for i in range(150):
+        copy = list(passage)
+        if i % 2:
+            at = 0 if i % 4 == 1 else 45
+            copy[at : at + 15 : 3] = fresh_words(rng, 5)
+        texts.append(fresh_words(rng, 60) + copy + fresh_words(rng, 60))
+    texts += [fresh_words(rng, 5) + line * 6 for _ in range(3)]
+    texts = [" ".join(t) for t in texts]
+    all_pairs, found = links_by_pair(texts, 10**6), links_by_pair(texts, 8)
+    assert sum(a < 150 and b < 150 for a, b in all_pairs) > 10 * 150 >= sum(a < 150 and b < 150 for a, b in found)
+    assert all((a, b) in found for a in range(150, 300, 2) for b in range(a + 2, 300, 2))
+    # A window for several places meets all others of its key, a stretch of 30 shared shingles is met like before.
+    assert {(300, 301), (300, 302), (301, 302)} <= set(found)
+    assert {p for p in all_pairs if p[0] >= 150 and p[1] < 300} <= set(found)
+
+
+def test_known_passages_are_not_verified_again():
+    """Links and words of passages are those of all stretches, with fewer of them looked through."""
+    rng = np.random.default_rng(13)
+    base, pairs, cuts = rng.integers(10**6, size=300), [], []
+    for i in range(24):
+        text = np.where(rng.random(300) < 0.015, rng.integers(10**6, 10**9, 300), base).astype(np.uint32)
+        cuts.append((0, i, 0, np.concatenate([text, rng.integers(10**9, 2 * 10**9, 40)]).astype(np.uint32).tobytes()))
+    for a in range(24):
+        for b in range(a + 1, 24):
+            pairs += [(a, b, low, low + n, low, low + n) for low, n in ((0, 300), (0, 339), (int(rng.integers(200)), 80))]
+    names = ("a", "b", "a_from", "a_to", "b_from", "b_to")
+    table = pa.table({n: pa.array([p[i] for p in pairs], type=pa.int64()) for i, n in enumerate(names)})
+    cut = {n: [c[i] for c in cuts] for i, n in enumerate(("bucket", "id", "start", "hashes"))}
+    got = passages.verify(table, pa.table(cut)).to_pylist()
+    texts = [np.frombuffer(c[3], dtype=np.uint32) for c in cuts]
+    plain = []
+    for a, b, a_from, a_to, b_from, b_to in pairs:
+        for low, high, other_low, other_high, _ in passages.shared_ranges(texts[a][a_from : a_to + 1], texts[b][b_from : b_to + 1]):
+            plain += [(a, b, a_from + low, a_from + high + 5), (b, a, b_from + other_low, b_from + other_high + 5)]
+    seen = [(r["a"], r["b"], r["a_from"], r["a_to"]) for r in got] + [(r["b"], r["a"], r["b_from"], r["b_to"]) for r in got]
+
+    def words(rows):
+        return {t: decontaminate.merged([r[2:] for r in rows if r[0] == t]) for t in range(24)}
+
+    assert {r[:2] for r in seen} == {r[:2] for r in plain} and words(seen) == words(plain)
+    assert 2 * len(got) < 0.7 * len(plain)
+
+
 def plain_limits(hashes, place):
     low, high = place, place
     while low > 0 and hashes[low - 1] >= hashes[place]:
