@@ -200,8 +200,10 @@ def links_by_pair(texts: list[str], most: int) -> Counter:
     windows = passages.windows_of([{"id": i, "text": t.encode()} for i, t in enumerate(texts)])
     jobs = passages.meet(256, most)(pa.table({"windows": [windows.tobytes()]}))
     found = Counter()
-    for links in passages.link_windows(jobs.to_batches()):
-        found.update(zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True))
+    for batch in passages.link_windows(4)(jobs.to_batches()):
+        for row in batch.to_pylist():
+            links = np.frombuffer(row["links"], dtype=passages.LINK)
+            found.update(zip(links["a"].tolist(), links["b"].tolist(), strict=True))
     return found
 
 
