@@ -228,6 +228,30 @@ def test_hot_lines_do_not_pair_their_texts_but_hot_passages_do():
     assert {p for p in all_pairs if p[0] >= 150 and p[1] < 300} <= set(found)
 
 
+def test_windows_of_hot_keys_are_all_paired(spark, monkeypatch):
+    """Wherever windows of a hot key stand, they are paired; what wider pairs imply links no other texts."""
+    rng = np.random.default_rng(17)
+    line, passage = fresh_words(rng, 13), fresh_words(rng, 60)
+    texts = [" ".join(fresh_words(rng, 60) + line + fresh_words(rng, 60)) for _ in range(40)]
+    for i in range(20):
+        copy = passage[:25] + fresh_words(rng, i % 2) + passage[25 + i % 2 :]
+        texts.append(" ".join(fresh_words(rng, 30) + copy + fresh_words(rng, 30)))
+    texts += [" ".join(fresh_words(rng, 5) + line * 6) for _ in range(3)]
+    all_pairs, meet = set(links_by_pair(texts, 10**6)), passages.meet
+    with monkeypatch.context() as patch:
+        patch.setattr(passages, "meet", lambda block, most: meet(block, most, whole=True))
+        assert set(links_by_pair(texts, 8)) == all_pairs
+    frame, found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    plain = passages.stored
+    for hot in (8, 10**6):
+        kept = {}
+        monkeypatch.setattr(passages, "HOT", hot)
+        monkeypatch.setattr(passages, "stored", lambda df, purpose, kept=kept: kept.setdefault(purpose, plain(df, purpose)))
+        got = sorted(map(repr, passages.near_passages(frame).collect()))
+        found.append((got, kept["jobs"].agg(F.sum("pairs")).first()[0]))
+    assert found[0] == found[1]
+
+
 def test_known_passages_are_not_verified_again():
     """Links and words of passages are those of all stretches, with fewer of them looked through."""
     rng = np.random.default_rng(13)
