@@ -246,12 +246,74 @@ def test_windows_of_hot_keys_are_all_paired(spark, monkeypatch):
     for hot in (8, 10**6):
         kept = {}
         monkeypatch.setattr(passages, "HOT", hot)
-        monkeypatch.setattr(passages, "stored", lambda df, purpose, kept=kept: kept.setdefault(purpose, plain(df, purpose)))
+        monkeypatch.setattr(passages, "stored", lambda df, purpose, *path, kept=kept: kept.setdefault(purpose, plain(df, purpose, *path)))
         got = sorted(map(repr, passages.near_passages(frame).collect()))
         found.append((got, kept["jobs"].agg(F.sum("pairs")).first()[0]))
     assert found[0] == found[1]
 
 
+def test_turns_change_nothing_and_write_over_each_other(docs, monkeypatch):
+    plain, kept = passages.stored, []
+
+    def stored(df, purpose, path=None):
+        kept.append((purpose, path, plain(df, purpose, path)))
+        return kept[-1][2]
+
+    monkeypatch.setattr(passages, "stored", stored)
+    monkeypatch.setattr(passages, "TURN_SHARE", 0)
+    found = []
+    for turns in (1, 3):
+        kept.clear()
+        found.append(sorted(map(repr, passages.near_passages(docs).collect())))
+        assert len([purpose for purpose, *_ in kept if purpose == "verified"]) == turns
+        assert all(len({path for made, path, _ in kept if made == name} - {None}) == 1 for name in ("passages", "dealt"))
+        pairs = next(frame for purpose, _, frame in kept if purpose == "jobs").agg(F.sum("pairs")).first()[0]
+        monkeypatch.setattr(passages, "TURN_BYTES", -(-pairs * passages.LINK.itemsize // 3))
+    assert found[0] == found[1]
+
+
+def shuffle_files(spark) -> int:
+    made = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    n = 0
+    while made.hasNext():
+        n += made.next().getName().startswith("shuffle_")
+    return n
+
+
+def test_stored_frames_leave_no_shuffles(spark):
+    spark.sparkContext._jvm.System.gc()
+    before = shuffle_files(spark)
+    got = passages.stored(spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count(), "kept")
+    assert got.count() == 10
+    left = [shuffle_files(spark) - before, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")]
+    # The count has a shuffle of one row per task.
+    assert left[0] <= 2 * spark.sparkContext.defaultParallelism and left[1] == "false"
+
+
+def test_sums_of_a_bucket_are_those_of_its_pairs():
+    rng = np.random.default_rng(23)
+    base, cuts, pairs = rng.integers(10**6, size=120), [], []
+    for i in range(6):
+        text = np.concatenate([base[60 * (i % 2) :], rng.integers(10**6, 10**9, 30)]) if i < 5 else rng.integers(10**6, 10**9, 90)
+        cuts.append((0, i, 0, text.astype(np.uint32).tobytes()))
+    lengths = [len(c[3]) // 4 - 1 for c in cuts]
+    pairs += [(a, b, 0, lengths[a], 0, lengths[b]) for a in range(6) for b in range(a + 1, 6)]
+    table = pa.table({n: pa.array([p[i] for p in pairs], type=pa.int64()) for i, n in enumerate(passages.STRETCH)})
+    cut = pa.table({n: [c[i] for c in cuts] for i, n in enumerate(("bucket", "id", "start", "hashes"))})
+    found = passages.verify(table, cut).to_pylist()
+    want = {}
+    for r in found:
+        for x, y in ("ab", "ba"):
+            others, spans = want.setdefault(r[x], (set(), []))
+            others.add(r[y])
+            spans.append((r[f"{x}_from"], r[f"{x}_to"]))
+    got = {r["id"]: r for r in passages.verified_sums(table, cut).to_pylist()}
+    assert set(got) == set(want) == set(range(5)) and {r["top"] for r in got.values()} == {0}
+    for i, (others, spans) in want.items():
+        assert got[i]["n_links"] == len(others) == 4
+        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == decontaminate.merged(spans)
+
+
 def test_known_passages_are_not_verified_again():
     """Links and words of passages are those of all stretches, with fewer of them looked through."""
     rng = np.random.default_rng(13)
