@@ -196,11 +196,11 @@ def _kept_state(records, spark):
     """Write the records to files, take these in two batches, and read the state that they leave.
 
     Neighbours go to different files, so repeated records meet in different batches or files; a task
-    that writes deals its own rows, however many there are.
+    that writes deals its own rows, however many there are.  Records repeat their names, so their files are packed.
     """
     folder = scratch_path(spark, "records")
     dealt = records.withColumn("deal", F.monotonically_increasing_id() % BATCHES)
-    write_records(dealt, f"{folder}/in", "deal")
+    write_records(dealt, f"{folder}/in", "deal", packed=True)
     files = len(read_records(spark, f"{folder}/in/*").inputFiles())
     stream = state_stream(
         stream_session(spark), f"{folder}/in/*", f"{folder}/state", f"{folder}/offsets", max(1, -(-files // BATCHES))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwheel.session import OPEN_FOLDERS, setting
+
 SEPARATOR = "\n\n"
 DEFAULT_EVENT = "message"
 
@@ -92,6 +94,20 @@ def format_record(event: Column, payload: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(payload))
 
 
-def write_records(records: DataFrame, path: str, *folders: str) -> None:
-    """Write one text column as records, in a folder per value of the columns ``folders`` if there are any."""
-    records.write.mode("overwrite").option("lineSep", SEPARATOR).partitionBy(*folders).text(path)
+#: Records of one packed file, which one task reads.
+PER_FILE = 100_000
+#: Folders that a task writes to without sorting; if there are more it sorts.
+FOLDERS = 8
+
+
+def write_records(records: DataFrame, path: str, *folders: str, packed: bool = False) -> None:
+    """Write one text column as records, in a folder per value of the columns ``folders`` if there are any.
+
+    ``packed`` files are compressed and of ``PER_FILE`` records at most, as they cannot be split.  A task has files of
+    several folders open at once, so that it does not sort its records by them.
+    """
+    writer = records.write.mode("overwrite").option("lineSep", SEPARATOR).partitionBy(*folders)
+    if packed:
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", PER_FILE)
+    with setting(records.sparkSession, OPEN_FOLDERS, str(FOLDERS)):
+        writer.text(path)

@@ -9,7 +9,8 @@ merged with the buckets of the state that it touches.
 A folder holds ``answers`` and ``submissions`` by batch and bucket, and a
 ``manifest`` per batch with the batch that holds each bucket's present rows.  A batch
 reads what the manifest before it names and writes to folders of its own, so a
-repeated batch overwrites itself and a half-written one is never read.
+repeated batch overwrites itself and a half-written one is never read.  What a batch
+needs several times is in ``work``, where the next one writes over it.
 
 State ends: a submission that is done and has had no record for ``keep_batches``
 batches is closed when its bucket is next written.  Its answers become one row of
@@ -27,7 +28,14 @@ from pyspark.sql import types as T
 
 from tarnwheel.operators.results import status_of
 from tarnwheel.operators.scoring import summarise
-from tarnwheel.session import INITIAL_PARTITIONS, RUNTIME_DEFAULTS, apply_defaults, reliable, start_partitions
+from tarnwheel.session import (
+    INITIAL_PARTITIONS,
+    RUNTIME_DEFAULTS,
+    apply_defaults,
+    shuffles_dropped,
+    start_partitions,
+    stored,
+)
 from tarnwheel.sources.records import ANSWER, parse_records, stream_records
 
 from .jobs import answers_of
@@ -98,9 +106,15 @@ def present(spark: SparkSession, folder: str, table: str, schema: str, held: dic
 
 
 def merge(
-    answers: DataFrame, submissions: DataFrame, old_answers: DataFrame, old_submissions: DataFrame, batch_id: int, keep: int
+    answers: DataFrame,
+    submissions: DataFrame,
+    old_answers: DataFrame,
+    old_submissions: DataFrame,
+    batch_id: int,
+    keep: int,
+    work: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """The new rows of both tables for the buckets that a batch touches."""
+    """The new rows of both tables for the buckets that a batch touches; ``work`` is a folder for what is used twice."""
     closed = old_submissions.where("totals IS NOT NULL").select(
         F.col("submission_id").alias("__id"), F.col("attempt").alias("__attempt")
     )
@@ -117,16 +131,17 @@ def merge(
     )
     row = F.struct("attempt", "done", "failed", "last_batch", "totals")
     latest = attempts.groupBy("submission_id", "bucket").agg(F.max(row).alias("row"))
-    latest = reliable(latest.select("submission_id", "row.*", "bucket"))
+    latest = stored(latest.select("submission_id", "row.*", "bucket"), "latest", f"{work}/latest")
     opened = latest.where("totals IS NULL").select("submission_id", "attempt", "last_batch", "done", "failed")
     quiet = F.col("last_batch") <= batch_id - keep
     opened = opened.withColumn("ends", (status_of(F.col("done"), F.col("failed.seq")) == "done") & quiet)
-    firsts = reliable(
+    firsts = (
         old_answers.unionByName(answers)
         .join(opened.select("submission_id", "attempt", "ends"), ["submission_id", "attempt"])
         .groupBy("submission_id", "attempt", "question_id", "bucket", "ends")
         .agg(F.min("first").alias("first"))
     )
+    firsts = stored(firsts, "firsts", f"{work}/firsts")
     ended_now = opened.where("ends").select("submission_id")
     totals = summarise(firsts.where("ends").select("submission_id", "first.*"), "submission_id")
     none = {"completed": 0, "exact_matches": 0}
@@ -162,17 +177,21 @@ def absorb(records: DataFrame, batch_id: int, folder: str, keep: int) -> None:
 def _absorb(records: DataFrame, batch_id: int, folder: str, keep: int, fit: Callable[..., None]) -> None:
     spark = records.sparkSession
     fit(records)
-    answers, submissions = map(reliable, news(records, batch_id))
+    work = f"{folder}/work"
+    answers, submissions = (
+        stored(rows, name, f"{work}/{name}") for name, rows in zip(("answers", "submissions"), news(records, batch_id), strict=True)
+    )
     before = versions(spark, folder, batch_id - 1)
     touched = [r["bucket"] for r in submissions.select("bucket").distinct().collect()]
     held = {b: before[b] for b in touched if b in before}
     old_answers = present(spark, folder, "answers", ANSWERS, held)
     old_submissions = present(spark, folder, "submissions", SUBMISSIONS, held)
     fit(records, old_answers, old_submissions)
-    tables = merge(answers, submissions, old_answers, old_submissions, batch_id, keep)
-    for name, rows in zip(("answers", "submissions"), tables, strict=True):
-        # A file per bucket, or more where a bucket is large.
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}/batch={batch_id}")
+    tables = merge(answers, submissions, old_answers, old_submissions, batch_id, keep, work)
+    with shuffles_dropped(spark):
+        for name, rows in zip(("answers", "submissions"), tables, strict=True):
+            # A file per bucket, or more where a bucket is large.
+            rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}/batch={batch_id}")
     now = before | dict.fromkeys(touched, batch_id)
     manifest = spark.createDataFrame(sorted(now.items()), MANIFEST)
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={batch_id}")

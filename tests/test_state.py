@@ -6,10 +6,12 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwheel.operators.results import first_wins, latest_attempt
 from tarnwheel.operators.scoring import summarise
-from tarnwheel.sources.records import parse_records, write_records
+from tarnwheel.sources import records as sources
+from tarnwheel.sources.records import parse_records, read_records, write_records
 from tarnwheel.streaming import statuses, stream_session
 from tarnwheel.streaming.jobs import answers_of
 from tarnwheel.streaming.state import RECORD, absorb, bucket_of, state_statuses, state_stream, state_summary, state_tables
@@ -89,6 +91,34 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert streamed(spark, folder) == before == by_batch(spark, records)
 
 
+def test_batches_keep_little_on_disk(spark, tmp_path, monkeypatch):
+    """A batch leaves no shuffles and no checkpoints, and writes over what the one before needed several times."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names, made = [], files.getAllFiles().iterator()
+        while made.hasNext():
+            names.append(made.next().getName())
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    def bytes_of(name):
+        return sum(f.stat().st_size for f in (tmp_path / "state" / "work" / name).glob("*.parquet"))
+
+    folder, all_records = str(tmp_path / "state"), some_records(6)
+    part = spark.createDataFrame([(r,) for r in all_records], "value string").coalesce(1)
+    monkeypatch.setattr(sources, "PER_FILE", 50)
+    write_records(part, f"{tmp_path}/in", packed=True)
+    assert len(list((tmp_path / "in").glob("*.gz"))) == -(-len(all_records) // 50)
+    assert sorted(r[0].strip("\n") for r in read_records(spark, f"{tmp_path}/in").collect()) == sorted(all_records)
+    before = shuffles()
+    batches(spark, folder, [all_records], 1000)
+    whole = bytes_of("answers")
+    absorb(part.limit(3), 1, folder, 1000)
+    assert {f.name for f in (tmp_path / "state" / "work").iterdir()} == {"answers", "submissions", "latest", "firsts"}
+    assert 0 < bytes_of("answers") < whole
+    assert len(shuffles() - before) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_state_ends_after_done(spark, tmp_path):
     folder = str(tmp_path / "state")
     first = [record("question_result", 1, 4, question="Q1"), record("done", 1, 9)]
