@@ -314,6 +314,50 @@ def test_sums_of_a_bucket_are_those_of_its_pairs():
         assert [(s["start"], s["end"]) for s in got[i]["spans"]] == decontaminate.merged(spans)
 
 
+def test_stretches_left_out_at_once_share_nothing(monkeypatch):
+    """No similar part is lost, and places are left out that no long stretch makes up for."""
+    rng = np.random.default_rng(29)
+    lines, cuts, pairs = [rng.integers(10**6, size=9) for _ in range(4)], [], []
+    for i in range(30):
+        base = np.random.default_rng(i % 3).integers(10**6, 2 * 10**6, 90)
+        text = np.where(rng.random(90) < 0.04 * (i % 5), rng.integers(10**8, 10**9, 90), base)
+        fresh = [rng.integers(10**8, 10**9, 70) for _ in range(2)]
+        text = np.concatenate([fresh[0], lines[i % 4], *([text] if i < 24 else [text[:5]] * 20), lines[i % 4], fresh[1][i % 2 * 70 :]])
+        cuts.append((0, i, 0, text.astype(np.uint32).tobytes()))
+    lengths = [len(c[3]) // 4 for c in cuts]
+    for a in range(30):
+        for b in range(a + 1, 30):
+            pairs += [(a, b, 0, lengths[a] - 1, 0, lengths[b] - 1), (a, b, 20, 100, 20, 100)]
+    table = pa.table({n: pa.array([p[i] for p in pairs], type=pa.int64()) for i, n in enumerate(passages.STRETCH)})
+    cut = pa.table({n: [c[i] for c in cuts] for i, n in enumerate(("bucket", "id", "start", "hashes"))})
+    got = passages.verify(table, cut).to_pylist()
+    numbers, text = np.concatenate([np.frombuffer(c[3], dtype=np.uint32) for c in cuts]).astype(np.int64), np.repeat(range(30), lengths)
+    numbers = np.unique(numbers, return_inverse=True)[1]
+    held = passages.in_dense(numbers, text)
+    holders = {}
+    for n, t in zip(numbers.tolist(), text.tolist(), strict=True):
+        holders.setdefault(n, []).append(t)
+    worth = [20 if len(set(holders[n])) > 1 else 0 if len(holders[n]) > 1 else -80 for n in numbers.tolist()]
+    want, at = np.zeros(len(held), dtype=bool), 0
+    for n in lengths:
+        sums = np.append(0, np.cumsum(worth[at : at + n]))
+        for low in range(n):
+            ends = np.flatnonzero(sums[low + 46 :] >= sums[low])
+            if len(ends):
+                want[at + low : at + low + 46 + int(ends[-1])] = True
+        at += n
+    assert (held == want).all() and 0.1 < held.mean() < 0.9
+    monkeypatch.setattr(passages, "in_dense", lambda numbers, text: np.ones(len(numbers), dtype=bool))
+    calls, plain = [], passages.similar_parts
+    monkeypatch.setattr(passages, "similar_parts", lambda x, y, one: calls.append(1) or plain(x, y, one=one))
+    assert passages.verify(table, cut).to_pylist() == got and got
+    every = len(calls)
+    monkeypatch.undo()
+    monkeypatch.setattr(passages, "similar_parts", lambda x, y, one: calls.append(1) or plain(x, y, one=one))
+    passages.verify(table, cut)
+    assert len(calls) - every < every
+
+
 def test_known_passages_are_not_verified_again():
     """Links and words of passages are those of all stretches, with fewer of them looked through."""
     rng = np.random.default_rng(13)
